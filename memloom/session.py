@@ -30,14 +30,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write once as Parquet in the shared folder and read back.
 
-
-def through_table(df: DataFrame, label: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read back (columnar, prunable)."""
+    A lost executor then costs a re-read instead of the whole lineage, and the planner gets a
+    true size and a columnar, prunable scan for everything downstream.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
