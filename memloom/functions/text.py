@@ -57,7 +57,9 @@ def normalize_text(c: Column) -> Column:
     """Accent-free, lower case, runs of anything but letters and digits become one space."""
     source, target, with_mark = _decompositions()
     plain = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
-    marked = F.regexp_replace(c, f"([{with_mark}])", "$1 ")
+    # A class of many single characters is slow to match, so a range test comes first.
+    candidates = rf"[\x{{{ord(min(with_mark)):x}}}-\x{{{ord(max(with_mark)):x}}}]"
+    marked = F.when(c.rlike(candidates), F.regexp_replace(c, f"([{with_mark}])", "$1 ")).otherwise(c)
     based = F.translate(marked, source, target)
     folded = F.lower(F.regexp_replace(based, r"[\x{300}-\x{36f}]", ""))
     wide = F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")
@@ -97,22 +99,38 @@ def flatten_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
 
 
+def first_position(haystack: Column, needles: Column) -> Column:
+    """Zero-based place of the earliest needle, or null. The haystack is evaluated once."""
+    start = F.struct(haystack.alias("h"), F.lit(None).cast("int").alias("p"))
+    step = lambda acc, n: F.struct(
+        acc["h"].alias("h"),
+        F.least(acc["p"], F.nullif(F.position(n, acc["h"]), F.lit(0))).alias("p"),
+    )
+    return F.aggregate(needles, start, step, lambda acc: acc["p"] - 1)
+
+
 def snippet_of(flat: Column, haystack: Column, needles: Column, max_chars: int) -> Column:
     """Snippet from prepared columns: flattened text, its normal form, query tokens."""
-    hits = F.filter(F.transform(needles, lambda n: F.position(n, haystack)), lambda p: p > 0)
-    at = F.array_min(hits) - 1
-    start = F.greatest(F.lit(0), at - max_chars // 3)
-    end = F.least(F.length(flat), start + max_chars)
-    centred = F.concat(
-        F.when(start > 0, "…").otherwise(""),
-        F.trim(F.substring(flat, start + 1, end - start)),
-        F.when(end < F.length(flat), "…").otherwise(""),
-    )
-    return (
-        F.when(F.length(flat) <= max_chars, flat)
-        .when(F.size(hits) == 0, F.concat(F.left(flat, F.lit(max_chars - 1)), F.lit("…")))
-        .otherwise(centred)
-    )
+
+    def cut(s: Column) -> Column:
+        text, at, size = s["t"], s["at"], F.length(s["t"])
+        start = F.greatest(F.lit(0), at - max_chars // 3)
+        end = F.least(size, start + max_chars)
+        centred = F.concat(
+            F.when(start > 0, "…").otherwise(""),
+            F.trim(F.substring(text, start + 1, end - start)),
+            F.when(end < size, "…").otherwise(""),
+        )
+        return (
+            F.when(size <= max_chars, text)
+            .when(at.isNull(), F.concat(F.left(text, F.lit(max_chars - 1)), F.lit("…")))
+            .otherwise(centred)
+        )
+
+    short = F.length(flat) <= max_chars
+    at = F.when(~short, first_position(haystack, needles))
+    # A one-element transform binds both values, so that neither is computed again.
+    return F.element_at(F.transform(F.array(F.struct(flat.alias("t"), at.alias("at"))), cut), 1)
 
 
 def snippet(content: Column, query: Column, max_chars: int = 240) -> Column:

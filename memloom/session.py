@@ -44,3 +44,12 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when the counted size is under the bound; else leave it to the planner."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of too few splits (one small file) over the cores before heavy per-row work.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
