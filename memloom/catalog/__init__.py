@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["functions_catalog"]
+MODULES = ["functions_catalog", "retrieval_catalog"]
 
 
 def load():

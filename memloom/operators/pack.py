@@ -57,7 +57,8 @@ def pack_context(
         F.col("position").cast("int").alias("position"), "item_id", "type", "source", "created_at",
         "fused", "ranks", "_text", "_cite", "_label", "_cost",
     )
-    listed = _prepared(candidates).groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("_c"))
+    in_order = lambda a, b: a["position"] - b["position"]
+    listed = _prepared(candidates).groupBy("query_id").agg(F.array_sort(F.collect_list(fields), in_order).alias("_c"))
 
     def step(acc: Column, c: Column) -> Column:
         remaining = F.lit(budget) - acc["used"]
