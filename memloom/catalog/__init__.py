@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["functions_catalog", "retrieval_catalog"]
+MODULES = ["functions_catalog", "retrieval_catalog", "curation_catalog"]
 
 
 def load():

@@ -1,0 +1,586 @@
+"""Curation, conversations, event streams, evaluation and ingest over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memloom.catalog import views as v
+from memloom.catalog.functions_catalog import doc_files, stamp
+from memloom.catalog.registry import query
+from memloom.catalog.retrieval_catalog import _BRANCHES, _hits, store
+from memloom.functions.ids import hash_of_content
+from memloom.functions.render import iso
+from memloom.operators import conversations as conv
+from memloom.operators import evaluation as ev
+from memloom.operators import events, fts, fusion, items as ops, reconcile, reports
+from memloom.operators import store as st
+from memloom.plans import ingest as plan_ingest
+from memloom.plans import search as plans
+from memloom.plans import writeback as wb
+from memloom.schemas import SCOPE
+from memloom.session import scratch_path
+from memloom.sources import docs, tables
+
+T = F.col
+
+# --- curation -------------------------------------------------------------------------------
+
+
+@query("exact_dedupe", f"WITH {v.FLAT} SELECT item_id, type FROM items QUALIFY row_number() OVER (PARTITION BY {v.norm('content')} ORDER BY seq) = 1")
+def exact_dedupe(spark, d):
+    hashed = v.flat_items(spark, d).withColumn("content_hash", hash_of_content(T("content")))
+    return ops.exact_dedupe(hashed, "seq").select("item_id", "type")
+
+
+@query("merge_confidence", f"WITH {v.FLAT} SELECT sha256({v.norm('content')} || chr(0)) AS content_hash, max(confidence) AS confidence FROM items GROUP BY 1")
+def merge_confidence(spark, d):
+    hashed = v.flat_items(spark, d).withColumn("content_hash", hash_of_content(T("content")))
+    return conv.merge_confidence(hashed).select("content_hash", "confidence")
+
+
+@query("sink_upsert_items", f"""WITH {v.FLAT}, h AS (SELECT *, sha256({v.norm('content')} || chr(0)) AS content_hash FROM items),
+s AS (SELECT * FROM h WHERE conversation_id IS NULL QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq) = 1),
+b AS (SELECT * FROM h WHERE conversation_id IS NOT NULL),
+u AS (SELECT content_hash, -1 AS o, item_id, type, source, confidence, updated_at FROM s UNION ALL SELECT content_hash, seq, item_id, type, source, confidence, updated_at FROM b)
+SELECT content_hash, arg_min(item_id, o) AS item_id, arg_min(type, o) AS type, arg_max(source, o) AS source, max(confidence) AS confidence,
+ CASE WHEN max(o) >= 0 THEN '{v.NOW}' ELSE {v.ts('arg_min(updated_at, o)')} END AS updated_at FROM u GROUP BY 1""")
+def sink_upsert_items(spark, d):
+    hashed = v.flat_items(spark, d).withColumn("content_hash", hash_of_content(T("content")))
+    old = ops.exact_dedupe(hashed.where(T("conversation_id").isNull()), "seq").drop("seq")
+    merged = st.merge_items(old, hashed.where(T("conversation_id").isNotNull()), v.now())
+    return merged.select("content_hash", "item_id", "type", "source", "confidence", stamp("updated_at").alias("updated_at"))
+
+
+@query("update_items", f"""WITH {v.FLAT}, p AS (SELECT item_id, seq % 3 = 0 AS c, seq % 4 = 0 AS t, 'patched ' || source || ' by a@b.co' AS content FROM items)
+SELECT i.item_id, CASE WHEN c THEN 'patched ' || i.source || ' by [email]' ELSE i.content END AS content,
+ CASE WHEN c THEN sha256('patched ' || replace(i.source, ':', ' ') || ' by email' || chr(0)) ELSE sha256({v.norm('i.content')} || chr(0)) END AS content_hash,
+ CASE WHEN t THEN 'note' ELSE i.type END AS type, CASE WHEN c OR t THEN '{v.NOW}' ELSE {v.ts('i.updated_at')} END AS updated_at FROM items i JOIN p USING (item_id)""")
+def update_items(spark, d):
+    held = v.flat_embedded(spark, d)
+    n = T("seq")
+    patches = held.select(
+        "item_id", *SCOPE, F.when(n % 3 == 0, F.concat(F.lit("patched "), "source", F.lit(" by a@b.co"))).alias("new_content"),
+        F.when(n % 4 == 0, "note").alias("new_type"), F.lit(None).cast("float").alias("new_confidence"))
+    return st.update_items(held, patches, v.now()).select("item_id", "content", "content_hash", "type", stamp("updated_at").alias("updated_at"))
+
+
+_GONE = "gone AS (SELECT item_id FROM items WHERE type = 'artifact')"
+
+
+@query("delete_items", f"""WITH {v.VERSIONS}, {_GONE}
+SELECT item_id, CASE WHEN superseded_by NOT IN (SELECT item_id FROM gone) THEN superseded_by END AS superseded_by FROM items WHERE item_id NOT IN (SELECT item_id FROM gone)""")
+def delete_items(spark, d):
+    held = v.versions(spark, d)
+    return st.delete_items({"items": held}, held.where(T("type") == "artifact"))["items"].select("item_id", "superseded_by")
+
+
+@query("undo_conversation", f"""WITH {v.VERSIONS}, gone AS (SELECT item_id FROM items WHERE conversation_id IN (SELECT 'conv_' || conv_id FROM conversations))
+SELECT item_id, conversation_id, CASE WHEN superseded_by NOT IN (SELECT item_id FROM gone) THEN superseded_by END AS superseded_by FROM items WHERE item_id NOT IN (SELECT item_id FROM gone)""")
+def undo_conversation(spark, d):
+    asked = v.table(spark, d, "conversations").select(
+        F.lit("acme").alias("tenant"), F.lit("u").alias("user_id"), F.lit(None).cast("string").alias("project"),
+        F.concat(F.lit("conv_"), "conv_id").alias("conversation_id"))
+    return st.undo_conversation({"items": v.versions(spark, d)}, asked)["items"].select("item_id", "conversation_id", "superseded_by")
+
+
+@query("delete_scope", f"""WITH {v.GRAPH}, gone AS (SELECT entity_id FROM entities WHERE tenant = 'en' AND user_id = 'u1')
+SELECT rel_id, CASE WHEN evidence_item NOT IN (SELECT item_id FROM items WHERE tenant = 'en' AND user_id = 'u1') THEN evidence_item END AS evidence_item
+FROM relations WHERE from_entity NOT IN (SELECT entity_id FROM gone) AND to_entity NOT IN (SELECT entity_id FROM gone)""")
+def delete_scope(spark, d):
+    held = {"items": v.items(spark, d), "links": v.links(spark, d), "relations": v.relations(spark, d), "entities": v.entities(spark, d)}
+    scopes = v.items(spark, d).where((T("tenant") == "en") & (T("user_id") == "u1")).select(*SCOPE).distinct()
+    return st.delete_scope(held, scopes)["relations"].select("rel_id", "evidence_item")
+
+
+@query("supersede_chain", f"""WITH RECURSIVE {v.FLAT}, linked AS (SELECT item_id, lead(item_id) OVER (PARTITION BY source ORDER BY seq) AS superseded_by FROM items),
+walk AS (SELECT item_id AS start, item_id, superseded_by, 0 AS hops FROM linked UNION ALL
+ SELECT w.start, l.item_id, l.superseded_by, w.hops + 1 FROM walk w JOIN linked l ON l.item_id = w.superseded_by)
+SELECT start AS item_id, item_id AS current_id, hops FROM walk WHERE superseded_by IS NULL""")
+def supersede_chain(spark, d):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("source").orderBy("seq")
+    chained = v.flat_items(spark, d).withColumn("superseded_by", F.lead("item_id").over(by))
+    return st.supersede_chain(chained)
+
+
+@query("explicit_supersede_join", f"""WITH {v.VERSIONS} SELECT o.item_id AS old_id, i.item_id AS new_id FROM items i JOIN items o ON o.item_id = i.superseded_by AND o.tenant = i.tenant""")
+def explicit_supersede_join(spark, d):
+    held = v.versions(spark, d)
+    named = held.where(T("superseded_by").isNotNull()).select(
+        T("item_id").alias("query_id"), *SCOPE, T("superseded_by").alias("item_id"))
+    return ops.scope_join(named, held.select(*SCOPE, "item_id"), on=("item_id",)).select(
+        T("item_id").alias("old_id"), T("query_id").alias("new_id"))
+
+
+def writes(spark, d):
+    """Every document as a write, in order of arrival."""
+    return v.flat_items(spark, d).select(
+        "seq", *SCOPE, "type", "content", "source", "confidence", "conversation_id", T("created_at").alias("at"))
+
+
+def empty_items(spark):
+    from memloom.schemas import ITEM
+
+    return spark.createDataFrame([], ITEM)
+
+
+@query("reconcile")
+def run_reconcile(spark, d):
+    outcomes, _ = reconcile.reconcile(writes(spark, d), empty_items(spark), v.now())
+    return outcomes.select("seq", "item_id", "outcome", "reason", "target")
+
+
+def _outcomes(spark, d):
+    def build(s, p):
+        return reconcile.reconcile(writes(s, p), empty_items(s), v.now(), reconcile.ReconcileConfig(min_confidence=0.6))[0]
+
+    return v.stored(spark, d, "outcomes", build)
+
+
+@query("reconcile_store")
+def reconcile_store(spark, d):
+    half = writes(spark, d)
+    _, first = reconcile.reconcile(half.where(T("conversation_id").isNull()), empty_items(spark), v.now())
+    _, items = reconcile.reconcile(half.where(T("conversation_id").isNotNull()), v.cut_lineage(first), v.now())
+    return items.select("item_id", "type", "source", "confidence", "superseded_by", "conversation_id")
+
+
+@query("rejected_report", f"WITH {v.FLAT} SELECT seq, printf('confidence %.2f below threshold 0.6', confidence) AS reason FROM items WHERE confidence < 0.6")
+def rejected_report(spark, d):
+    return conv.rejected_report(_outcomes(spark, d)).select("seq", "reason")
+
+
+@query("write_text")
+def write_text(spark, d):
+    return reports.write_text(_outcomes(spark, d)).select("seq", "report")
+
+
+@query("tally_by", f"WITH {v.ITEMS} SELECT type, count(*) AS n FROM items GROUP BY 1")
+def tally_by(spark, d):
+    return ops.tally_by(v.items(spark, d), "type")
+
+
+@query("tally_wide", f"WITH {v.ITEMS} SELECT tenant, count(*) FILTER (type = 'decision') AS decision, count(*) FILTER (type = 'preference') AS preference, count(*) FILTER (type = 'procedure') AS procedure, count(*) FILTER (type = 'fact') AS fact, count(*) FILTER (type = 'artifact') AS artifact, count(*) FILTER (type = 'note') AS note FROM items GROUP BY 1")
+def tally_wide(spark, d):
+    return ops.tally_wide(v.items(spark, d), ["tenant"])
+
+
+@query("get_text", f"""WITH {v.VERSIONS} SELECT item_id, '[' || item_id || '] ' || type || chr(10) || 'source: ' || source || chr(10) || 'created: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')
+ || '  updated: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z') || '  confidence: ' || confidence || chr(10)
+ || CASE WHEN superseded_by IS NOT NULL THEN 'SUPERSEDED BY ' || superseded_by || ' — this memory is out of date.' || chr(10) ELSE '' END || content AS report FROM items""")
+def get_text(spark, d):
+    return reports.get_text(v.versions(spark, d))
+
+
+# --- conversations --------------------------------------------------------------------------
+
+@query("scan_transcripts", f"WITH {v.MESSAGES} SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS turn, role, text AS content FROM messages")
+def scan_transcripts(spark, d):
+    payloads = tables.transcript_payload(v.messages(spark, d))
+    return tables.read_turns(payloads).select("conversation_id", T("turn").cast("long").alias("turn"), "role", "content")
+
+
+@query("sink_jobs", f"WITH {v.MESSAGES} SELECT conversation_id, tenant, user_id, project, 'pending' AS status, 0 AS attempts FROM messages GROUP BY ALL")
+def sink_jobs(spark, d):
+    path = scratch_path(spark, "jobs")
+    jobs = tables.enqueue_transcripts(tables.transcript_payload(v.messages(spark, d)), v.now())
+    jobs.write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("conversation_id", *SCOPE, "status", T("attempts").cast("long").alias("attempts"))
+
+
+_WHO = "who AS (SELECT DISTINCT tenant || '-' || user_id || '-' || project AS query_id, tenant, user_id, CASE WHEN project <> 'p0' THEN project END AS project FROM messages)"
+
+
+def _who(spark, d):
+    return v.messages(spark, d).select(
+        F.concat_ws("-", *SCOPE).alias("query_id"), "tenant", "user_id", F.when(T("project") != "p0", T("project")).alias("project")).distinct()
+
+
+@query("get_conversation", f"WITH {v.CONVS}, {_WHO} SELECT q.query_id, i.conversation_id, i.project FROM who q JOIN convs i ON {v.IN_SCOPE}")
+def get_conversation(spark, d):
+    c = v.conversations(spark, d)
+    asked = ops.scope_join(_who(spark, d), c.select(*SCOPE, "conversation_id")).select("query_id", *SCOPE, "conversation_id")
+    return conv.get_conversation(asked, c.drop("title", "session_id")).select("query_id", "conversation_id", "project")
+
+
+@query("conversation_turns", f"WITH {v.CONVS} SELECT c.conversation_id, count(m.turn) AS turn_count FROM convs c LEFT JOIN messages m ON m.conversation_id = c.conversation_id AND m.role <> 'system' GROUP BY 1")
+def conversation_turns(spark, d):
+    said = v.messages(spark, d).where(T("role") != "system")
+    return conv.conversation_turns(v.conversations(spark, d), said).select("conversation_id", "turn_count")
+
+
+@query("list_conversations", f"""WITH {v.CONVS}, {_WHO}, k AS (SELECT q.query_id, i.conversation_id, row_number() OVER (PARTITION BY q.query_id ORDER BY i.updated_at DESC, i.conversation_id) AS rank FROM who q JOIN convs i ON {v.IN_SCOPE} QUALIFY rank <= 3)
+SELECT query_id, conversation_id, rank, (SELECT count(*) FROM messages m WHERE m.conversation_id = k.conversation_id) AS turn_count FROM k""")
+def list_conversations(spark, d):
+    listed = conv.list_conversations(_who(spark, d), v.conversations(spark, d), v.messages(spark, d), 3)
+    return listed.select("query_id", "conversation_id", T("rank").cast("long").alias("rank"), "turn_count")
+
+
+@query("ordered_messages", f"WITH {v.MESSAGES} SELECT conversation_id, role, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS position FROM messages")
+def ordered_messages(spark, d):
+    return conv.ordered_messages(v.messages(spark, d)).select("conversation_id", "role", T("position").cast("long").alias("position"))
+
+
+@query("spend", f"WITH {v.USAGE} SELECT conversation_id, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd, count(*) AS turns FROM usage GROUP BY 1")
+def spend(spark, d):
+    return conv.spend(v.usage(spark, d)).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query("budget_check", f"""WITH {v.CONVS}, {v.USAGE}, s AS (SELECT conversation_id, sum(cost_usd) AS c, count(*) AS n FROM usage GROUP BY 1)
+SELECT c.conversation_id, coalesce(s.c, 0) < 2.0 AS allowed, coalesce(s.n, 0) AS turns FROM convs c LEFT JOIN s ON s.conversation_id = c.conversation_id""")
+def budget_check(spark, d):
+    return conv.budget_check(v.conversations(spark, d), v.usage(spark, d), 2.0).select("conversation_id", "allowed", "turns")
+
+
+@query("conversation_detail", f"""WITH {v.CONVS}, {v.USAGE}, s AS (SELECT conversation_id, sum(cost_usd) AS c, count(*) AS n FROM usage GROUP BY 1),
+m AS (SELECT conversation_id, string_agg(role || '=' || text, '|' ORDER BY turn) AS said FROM messages GROUP BY 1)
+SELECT c.conversation_id, said, round(coalesce(s.c, 0), 6) AS cost_usd, coalesce(s.n, 0) AS turns, 5.0::DOUBLE AS cost_ceiling_usd FROM convs c JOIN m USING (conversation_id) LEFT JOIN s ON s.conversation_id = c.conversation_id""")
+def conversation_detail(spark, d):
+    out = conv.conversation_detail(v.conversations(spark, d), v.messages(spark, d), v.usage(spark, d))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["text"])), "|")
+    return out.select("conversation_id", said.alias("said"), F.round("cost_usd", 6).alias("cost_usd"), "turns", "cost_ceiling_usd")
+
+
+@query("recent_tail", f"""WITH {v.MESSAGES}, t AS (SELECT conversation_id, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS x FROM messages GROUP BY 1)
+SELECT conversation_id, CASE WHEN length(x) > 1500 THEN '[…earlier turns omitted…]' || chr(10) || chr(10) || right(x, 1500) ELSE x END AS transcript FROM t""")
+def recent_tail(spark, d):
+    return conv.recent_tail(v.messages(spark, d), 1500)
+
+
+@query("first_message_title", f"""WITH {v.MESSAGES}, f AS (SELECT conversation_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS l FROM messages WHERE role = 'user' GROUP BY 1)
+SELECT conversation_id, CASE WHEN length(l) <= 60 THEN l ELSE left(l, 57) || '…' END AS title FROM f""")
+def first_message_title(spark, d):
+    return conv.first_message_title(v.messages(spark, d))
+
+
+@query("append_message", f"""WITH {v.CONVS}, {v.USAGE}, n AS (SELECT conversation_id, max(ts) AS t FROM usage GROUP BY 1)
+SELECT c.conversation_id, {v.ts('greatest(c.updated_at, coalesce(n.t, c.updated_at))')} AS updated_at FROM convs c LEFT JOIN n USING (conversation_id)""")
+def append_message(spark, d):
+    new = v.usage(spark, d).select("conversation_id", T("seq").alias("turn"), F.lit("user").alias("role"), F.lit("more").alias("text"), T("ts").cast("timestamp").alias("at"))
+    moved, _ = conv.append_message(v.conversations(spark, d), v.messages(spark, d).select("conversation_id", "turn", "role", "text"), new)
+    return moved.select("conversation_id", stamp("updated_at").alias("updated_at"))
+
+
+@query("upsert_conversations", f"""WITH {v.CONVS}, f AS (SELECT conversation_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS l, max(turn) AS m FROM messages GROUP BY 1)
+SELECT conversation_id, CASE WHEN length(l) <= 60 THEN l ELSE left(l, 57) || '…' END AS title, 's' || m AS session_id FROM f""")
+def upsert_conversations(spark, d):
+    seen = v.messages(spark, d).select("conversation_id", *SCOPE, T("turn").alias("seq"), T("text").alias("message"),
+                                       F.concat(F.lit("s"), "turn").alias("session_id"), v.now().alias("at"))
+    return conv.upsert_conversations(v.conversations(spark, d), seen).select("conversation_id", "title", "session_id")
+
+
+@query("delete_conversation", f"WITH {v.MESSAGES} SELECT conversation_id, turn FROM messages WHERE user_id <> 'u1'")
+def delete_conversation(spark, d):
+    c = v.conversations(spark, d)
+    asked = c.where(T("user_id") == "u1").select("tenant", "user_id", F.lit(None).cast("string").alias("project"), "conversation_id")
+    return conv.delete_conversation({"conversations": c, "messages": v.messages(spark, d)}, asked)["messages"].select("conversation_id", "turn")
+
+
+@query("worker_stats", f"WITH {v.FLAT} SELECT count(DISTINCT conversation_id) AS processed, count(*) FILTER (type IN ('decision', 'fact')) AS stored, count(*) FILTER (type = 'note') AS duplicates, count(*) FILTER (type = 'artifact') AS rejected, count(*) FILTER (type = 'procedure') AS failed FROM items")
+def worker_stats(spark, d):
+    kind = T("type")
+    outcome = (F.when(kind == "decision", "inserted").when(kind == "fact", "superseded").when(kind == "note", "duplicate")
+               .when(kind == "artifact", "rejected").when(kind == "procedure", "failed").otherwise("skipped"))
+    return conv.worker_stats(v.flat_items(spark, d).select(T("conversation_id").alias("job_id"), outcome.alias("outcome")))
+
+
+# --- event streams --------------------------------------------------------------------------
+
+_TURN = """turns AS (SELECT 'conv_' || conv_id AS conversation_id, turn, text, conv_id * 10 + turn AS n FROM conversations WHERE role = 'assistant'),
+shape AS (SELECT *, CASE WHEN n % 11 = 0 THEN 2 ELSE 0 END AS noise, CASE WHEN n % 4 = 0 THEN 0 ELSE CAST(floor((length(text) - 1) / 40) AS BIGINT) + 1 END AS pieces FROM turns)"""
+_DELTA = """delta AS (SELECT conversation_id, turn, 3 + noise + i AS seq, substr(text, CAST(i * 40 + 1 AS BIGINT), 40) AS text FROM
+ (SELECT *, unnest(range(pieces)) AS i FROM shape WHERE pieces > 0))"""
+
+
+def _parsed(spark, d):
+    return events.parse_lines(v.stream_lines(spark, d))
+
+
+@query("scan_ndjson", f"WITH {_TURN} SELECT conversation_id, turn, pieces + 5 + CASE WHEN noise = 2 THEN 1 ELSE 0 END AS lines FROM shape")
+def scan_ndjson(spark, d):
+    path = scratch_path(spark, "lines")
+    held = v.stream_lines(spark, d).withColumn("ts", v.now())
+    records = held.select(F.to_json(F.struct(*held.columns)).alias("value"))
+    blanks = held.select(F.when(T("seq") % 2 == 0, "  ").otherwise("not json {").alias("value"))
+    records.unionByName(blanks).write.text(path)
+    kept = events.parse_lines(tables.read_event_lines(spark, path))
+    return kept.groupBy("conversation_id", "turn").agg(F.count("*").alias("lines"))
+
+
+@query("translate_delta", f"WITH {_TURN}, {_DELTA} SELECT conversation_id, turn, seq, text FROM delta")
+def translate_delta(spark, d):
+    return events.translate_delta(_parsed(spark, d)).select("conversation_id", "turn", "seq", "text")
+
+
+@query("translate_tool_start", f"WITH {_TURN} SELECT conversation_id, turn, 1 + noise AS seq, 't' || n AS tool_id, CASE WHEN n % 2 = 0 THEN 'mcp__memory__memory_search' ELSE 'Read' END AS name, '{{}}' AS input FROM shape")
+def translate_tool_start(spark, d):
+    return events.translate_tool_start(_parsed(spark, d)).select("conversation_id", "turn", "seq", "tool_id", "name", "input")
+
+
+_BODY = "(n % 4) || ' item(s) matched' || chr(10) || '[item_' || n || '] (note, 2024-01-01, src=doc)' || chr(10) || 'first line' || chr(10) || 'second line' || chr(10) || chr(10) || 'rest'"
+
+
+@query("translate_tool_result", f"""WITH {_TURN} SELECT conversation_id, turn, 2 + noise AS seq, 't' || n AS tool_id, n % 9 <> 0 AS ok,
+ CASE WHEN n % 9 = 0 OR n % 2 = 1 THEN left({_BODY}, 200) ELSE 'found ' || (n % 4) || ' memories' END AS summary FROM shape""")
+def translate_tool_result(spark, d):
+    out = events.translate_tool_result(_parsed(spark, d)).where(T("type") == "tool.result")
+    return out.select("conversation_id", "turn", "seq", "tool_id", "ok", "summary")
+
+
+@query("tool_pairing", f"WITH {_TURN} SELECT conversation_id, turn, 't' || n AS tool_id, CASE WHEN n % 2 = 0 THEN 'mcp__memory__memory_search' ELSE 'Read' END AS name FROM shape")
+def tool_pairing(spark, d):
+    starts = events.translate_tool_start(_parsed(spark, d))
+    results = starts.select("conversation_id", "turn", (T("seq") + 1).alias("seq"), T("idx").cast("long").alias("idx"), "tool_id")
+    return events.tool_pairing(results, starts).select("conversation_id", "turn", "tool_id", "name")
+
+
+@query("stream_citations", f"WITH {_TURN} SELECT conversation_id, turn, 't' || n AS tool_id, 'item_' || n AS item_id, 'first line second line' AS snippet FROM shape WHERE n % 2 = 0 AND n % 9 <> 0")
+def stream_citations(spark, d):
+    out = events.translate_tool_result(_parsed(spark, d)).where(T("type") == "citation")
+    return out.select("conversation_id", "turn", "tool_id", F.explode("citations").alias("c")).select("conversation_id", "turn", "tool_id", "c.item_id", "c.snippet")
+
+
+@query("stream_init_errors", f"""WITH {_TURN} SELECT conversation_id, turn, 'upstream_failed' AS code, CASE WHEN n % 3 = 0 THEN 'The memory MCP server did not connect (failed), so this answer is not grounded in memory.'
+ ELSE 'The memory server connected but this session has no memory tools. It offered: memory. Check that the allowed tools name that server.' END AS message FROM shape WHERE n % 3 = 0 OR n % 5 = 0""")
+def stream_init_errors(spark, d):
+    return events.stream_init_errors(_parsed(spark, d)).select("conversation_id", "turn", "code", "message")
+
+
+@query("session_id_asof", f"WITH {_TURN} SELECT conversation_id, turn, 's' || n AS session_id, count(*) AS lines FROM (SELECT *, unnest(range(pieces + 5 + CASE WHEN noise = 2 THEN 1 ELSE 0 END)) FROM shape) GROUP BY ALL")
+def session_id_asof(spark, d):
+    return events.session_id_asof(_parsed(spark, d)).groupBy("conversation_id", "turn", "session_id").agg(F.count("*").alias("lines"))
+
+
+@query("text_accumulate", f"WITH {_TURN} SELECT conversation_id, turn, text FROM shape WHERE pieces > 0")
+def text_accumulate(spark, d):
+    return events.text_accumulate(_parsed(spark, d))
+
+
+_USED = """CASE WHEN n % 4 <> 0 THEN CAST(floor(length(text) / 4) AS BIGINT) ELSE n % 7 END AS input_tokens,
+ CASE WHEN n % 4 <> 0 THEN length(text) ELSE n % 13 END AS output_tokens, (n % 50) / 100.0::DOUBLE AS cost_usd, 'end_turn' AS stop_reason"""
+
+
+@query("usage_rollup", f"WITH {_TURN} SELECT conversation_id, turn, 's' || n AS session_id, {_USED} FROM shape")
+def usage_rollup(spark, d):
+    return events.usage_rollup(_parsed(spark, d))
+
+
+@query("stream_result_event", f"""WITH {_TURN} SELECT conversation_id, turn, 'error' AS type, left(text, 30) AS said, CAST(NULL AS VARCHAR) AS session_id FROM shape WHERE n % 7 = 0
+ UNION ALL SELECT conversation_id, turn, 'message.done', NULL, 's' || n FROM shape WHERE n % 7 <> 0
+ UNION ALL SELECT conversation_id, turn, 'message.delta', left(text, 30), NULL FROM shape WHERE n % 7 <> 0 AND n % 4 = 0 AND length(text) > 0""")
+def stream_result_event(spark, d):
+    out = events.stream_result_event(_parsed(spark, d))
+    return out.select("conversation_id", "turn", "type", F.coalesce("message", "text").alias("said"), "session_id")
+
+
+@query("stream_translate")
+def stream_translate(spark, d):
+    out = events.translate_lines(v.stream_lines(spark, d))
+    return out.select("conversation_id", "turn", "seq", "idx", "type", "text", "tool_id", "name", "ok", "summary", "code", "message")
+
+
+@query("clean_turn_gate", f"WITH {_TURN} SELECT conversation_id, turn FROM shape WHERE n % 3 <> 0 AND n % 5 <> 0 AND n % 7 <> 0")
+def clean_turn_gate(spark, d):
+    return conv.clean_turn_gate(events.translate_lines(v.stream_lines(spark, d)))
+
+
+@query("stream_spend", f"""WITH {v.USAGE}, r AS (SELECT conversation_id, seq, sum(coalesce(cost_usd, 0)) OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS running FROM usage)
+SELECT conversation_id, min(seq) AS alert_seq, round(min(running), 6) AS spent FROM r WHERE running >= 1.0 GROUP BY 1""")
+def stream_spend(spark, d):
+    from memloom.streaming.spend import spend_alerts
+
+    return spend_alerts(v.usage(spark, d), 1.0).select("conversation_id", T("seq").alias("alert_seq"), F.round("running", 6).alias("spent"))
+
+
+@query("usage_sessions")
+def usage_sessions(spark, d):
+    from memloom.streaming.spend import usage_sessions as run
+
+    return run(v.usage(spark, d)).select("conversation_id", stamp("session_start").alias("session_start"), "turns", "input_tokens")
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+_GOLD = "gold AS (SELECT 'q' || b.item_id AS query_id, 'item_' || lpad(d.doc_id::VARCHAR, 8, '0') AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_RUN = f"""{v.FLAT}, {v.FLAT_QUERIES}, {_GOLD},
+terms AS (SELECT DISTINCT query_id, unnest(({v.tokens('query')})[1:24]) AS token FROM queries),
+post AS (SELECT DISTINCT item_id, updated_at, token FROM (SELECT item_id, updated_at, unnest({v.tokens('content')}) AS token FROM items)),
+got AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, any_value(updated_at) DESC, item_id) AS rank FROM terms JOIN post USING (token) GROUP BY 1, 2 QUALIFY rank <= 10),
+asked AS (SELECT query_id, CAST(substr(query_id, 2) AS BIGINT) * 7 % 101 + 0.5::DOUBLE AS latency_ms FROM queries),
+hit AS (SELECT query_id, rank FROM got JOIN gold USING (query_id, item_id)),
+per AS (SELECT a.query_id, a.latency_ms, (SELECT count(*) FROM gold g WHERE g.query_id = a.query_id) AS n,
+ (SELECT count(*) FROM hit h WHERE h.query_id = a.query_id AND rank <= 5) AS h5, (SELECT count(*) FROM hit h WHERE h.query_id = a.query_id) AS h10,
+ (SELECT min(rank) FROM hit h WHERE h.query_id = a.query_id) AS best, (SELECT sum(1 / log2(rank + 1)) FROM hit h WHERE h.query_id = a.query_id) AS dcg FROM asked a),
+m AS (SELECT query_id, latency_ms, n, CASE WHEN n = 0 THEN 1 ELSE h5::DOUBLE / n END AS r5, CASE WHEN n = 0 THEN 1 ELSE h10::DOUBLE / n END AS r10, coalesce(1.0::DOUBLE / best, 0) AS mrr,
+ CASE WHEN n = 0 THEN 1 ELSE coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg FROM per)"""
+
+
+def _gold(spark, d):
+    """Documents that contain a benchmark passage, found by its rarest words first.
+
+    A containing document shares the passage's opening token, so the join is on that token; the
+    containment itself is checked after it.
+    """
+    from memloom.functions.text import tokenize
+
+    b = v.table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), T("text").alias("passage"))
+    doc = v.flat_items(spark, d).select("item_id", "content")
+    probes = b.withColumn("token", F.element_at(F.array_sort(tokenize(T("passage")), lambda x, y: F.length(y) - F.length(x)), 1))
+    words = doc.select("item_id", F.explode(F.array_distinct(tokenize(T("content")))).alias("token"))
+    near = words.join(F.broadcast(probes) if b.count() < 100_000 else probes, "token").join(doc, "item_id")
+    return near.where(F.contains(T("content"), T("passage"))).select("query_id", "item_id")
+
+
+def _eval_inputs(spark, d):
+    asked = v.flat_queries(spark, d).select("query_id", (F.substring("query_id", 2, 9).cast("long") * 7 % 101 + 0.5).alias("latency_ms"))
+    got = v.stored(spark, d, "eval_hits", lambda s, p: fts.fts_branch(v.flat_queries(s, p), v.flat_items(s, p), 10, rank="coverage"))
+    return asked, v.stored(spark, d, "gold", _gold), got
+
+
+def _metrics(spark, d):
+    return ev.query_metrics(ev.judged(*_eval_inputs(spark, d)))
+
+
+for _name, _sql, _col in [("recall_at_k", "r10", "recall_at_10"), ("mrr_at_k", "mrr", "mrr_at_10"), ("ndcg_at_k", "ndcg", "ndcg_at_10")]:
+
+    def _one(spark, d, c=_col):
+        return _metrics(spark, d).select("query_id", F.round(c, 6).alias("value"))
+
+    query(_name, f"WITH {_RUN} SELECT query_id, round({_sql}, 6)::DOUBLE AS value FROM m")(_one)
+
+
+@query("percentile_nearest_rank", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(value) FILTER (rn = ceil(0.5 * n)) AS p50, max(value) FILTER (rn = ceil(0.95 * n)) AS p95 FROM r GROUP BY 1""")
+def percentile_nearest_rank(spark, d):
+    return v.table(spark, d, "events").groupBy("event_type").agg(
+        ev.percentile_nearest_rank("value", 50).alias("p50"), ev.percentile_nearest_rank("value", 95).alias("p95"))
+
+
+@query("mean_or_zero", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def mean_or_zero(spark, d):
+    return v.table(spark, d, "events").groupBy("event_type").agg(F.round(ev.mean_or_zero("value"), 6).alias("mean"))
+
+
+_REPORT = """rep AS (SELECT count(*) AS queries, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_at_10, round(avg(ndcg), 6) AS ndcg_at_10,
+ quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95, count(*) FILTER (r10 = 0) AS misses FROM m)"""
+
+
+def _report(spark, d):
+    rep = ev.eval_report(_metrics(spark, d))
+    return rep.withColumns({c: F.round(c, 6) for c in ("recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10")})
+
+
+@query("eval_report", f"WITH {_RUN}, {_REPORT} SELECT * FROM rep")
+def eval_report(spark, d):
+    return _report(spark, d)
+
+
+@query("eval_gate", f"WITH {_RUN}, {_REPORT} SELECT recall_at_10, NOT (recall_at_10 < 0.85 OR latency_p95 > 90) AS passed FROM rep")
+def eval_gate(spark, d):
+    return ev.eval_gate(_report(spark, d), 0.85, 90).select("recall_at_10", "passed")
+
+
+@query("format_report", f"""WITH {_RUN}, {_REPORT} SELECT 'run' || chr(10) || '  queries      ' || queries || chr(10) || printf('  recall@5     %.1f%%', recall_at_5 * 100) || chr(10) || printf('  recall@10    %.1f%%', recall_at_10 * 100) || chr(10)
+ || printf('  MRR@10       %.3f', mrr_at_10) || chr(10) || printf('  nDCG@10      %.3f', ndcg_at_10) || chr(10) || printf('  latency p50  %.0fms', round(latency_p50)) || chr(10) || printf('  latency p95  %.0fms', round(latency_p95)) || chr(10) || '  total miss   ' || misses AS report FROM rep""")
+def format_report(spark, d):
+    return _report(spark, d).select(ev.format_report(F.lit("run")).alias("report"))
+
+
+@query("eval_misses", f"""WITH {_RUN} SELECT a.query_id, (SELECT string_agg(item_id, ',' ORDER BY item_id) FROM gold g WHERE g.query_id = a.query_id) AS wanted,
+ (SELECT string_agg(item_id, ',' ORDER BY rank) FROM got g WHERE g.query_id = a.query_id AND rank <= 3) AS got FROM asked a WHERE a.query_id NOT IN (SELECT query_id FROM hit)""")
+def eval_misses(spark, d):
+    out = ev.eval_misses(*_eval_inputs(spark, d))
+    return out.select("query_id", F.array_join("wanted", ",").alias("wanted"), F.array_join("got", ",").alias("got"))
+
+
+@query("resolve_refs", f"WITH {v.FLAT}, {_GOLD} SELECT query_id, item_id FROM gold")
+def resolve_refs(spark, d):
+    wanted = v.stored(spark, d, "gold", _gold).select("query_id", F.concat(F.lit("ref-"), "item_id").alias("ref"))
+    held = v.flat_items(spark, d).select(F.concat(F.lit("ref-"), "item_id").alias("ref"), "item_id")
+    return ev.resolve_refs(wanted, held).select("query_id", "item_id")
+
+
+@query("eval_compare")
+def eval_compare(spark, d):
+    return plan_ingest.compare(v.queries(spark, d), store(spark, d), v.stored(spark, d, "gold", _gold), v.now())
+
+
+@query("scan_golden")
+def scan_golden(spark, d):
+    path = scratch_path(spark, "golden")
+    rows = v.table(spark, d, "benchmark").groupBy((T("item_id") % 4).alias("part")).agg(F.collect_list(F.struct(
+        F.concat(F.lit("q"), "item_id").alias("id"), T("text").alias("query"), F.array(F.concat(F.lit("c"), "item_id")).alias("relevant"))).alias("queries"))
+    rows.select("queries").repartition(4).write.json(path)
+    return tables.read_golden(spark, path, "queries").select("id", "query", F.element_at("relevant", 1).alias("first"))
+
+
+# --- ingest -------------------------------------------------------------------------------------
+
+@query("md_sections")
+def md_sections(spark, d):
+    return docs.md_sections(doc_files(spark, d)).select("path", "pos", "breadcrumb", F.length("body").alias("n"))
+
+
+@query("docs_to_items")
+def docs_to_items(spark, d):
+    return docs.docs_to_items(docs.keep_doc_files(doc_files(spark, d))).select(
+        "type", "source", "origin", F.sha2("content", 256).alias("digest"), F.size("entities").alias("n"))
+
+
+def _commits(spark, d):
+    path = scratch_path(spark, "log")
+    n = T("doc_id")
+    sep = F.lit(docs.FIELD)
+    record = F.concat(F.sha2(n.cast("string"), 256), sep, F.left("text", F.lit(40)), sep, F.concat("text", F.lit("\nReviewed-by: A <a@b>\n")), sep,
+                      F.date_format(F.timestamp_seconds(F.lit(v.EPOCH) + n * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    log = v.table(spark, d, "documents").select(record.alias("value"))
+    log.write.option("lineSep", docs.RECORD).text(path)
+    return path
+
+
+@query("scan_commit_log")
+def scan_commit_log(spark, d):
+    return docs.read_commits(spark, _commits(spark, d), since="2024-01-02", max_commits=None).select("sha", "date", F.length("body").alias("n"))
+
+
+@query("commits_to_items")
+def commits_to_items(spark, d):
+    commits = docs.read_commits(spark, _commits(spark, d), max_commits=None)
+    return docs.commits_to_items(commits).select("type", "source", F.length("content").alias("n"))
+
+
+@query("union_docs_commits")
+def union_docs_commits(spark, d):
+    commits = docs.commits_to_items(docs.read_commits(spark, _commits(spark, d), max_commits=None))
+    both = docs.union_docs_commits(docs.docs_to_items(doc_files(spark, d)), commits)
+    return both.groupBy("priority", "type").agg(F.count("*").alias("n"))
+
+
+@query("max_items_cap")
+def max_items_cap(spark, d):
+    commits = docs.commits_to_items(docs.read_commits(spark, _commits(spark, d)))
+    both = docs.union_docs_commits(docs.docs_to_items(doc_files(spark, d)), commits)
+    return docs.max_items_cap(both).select("type", "source")
+
+
+@query("ingest_preview")
+def ingest_preview(spark, d):
+    return docs.ingest_preview(docs.docs_to_items(doc_files(spark, d)))[1]
+
+
+@query("extract_json_object")
+def extract_json_object(spark, d):
+    noisy = F.concat(F.lit("Sure: "), T("props"), F.lit(" {\"x\": \"}\"} done"))
+    return v.table(spark, d, "events").select("event_id", wb.extract_json_object(noisy).alias("json"))
+
+
+@query("parse_facts")
+def parse_facts(spark, d):
+    raw = wb.extract(conv.recent_tail(v.messages(spark, d)))
+    return wb.parse_facts(raw)[0].select("conversation_id", "fact_pos", "type", "content", "confidence")
+
+
+@query("transcript_to_candidates")
+def transcript_to_candidates(spark, d):
+    return wb.transcript_to_candidates(v.messages(spark, d))[0].select("conversation_id", "type", "content", "confidence", "source")

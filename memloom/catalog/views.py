@@ -10,7 +10,7 @@ from memloom.functions.text import STOPWORDS
 from memloom.operators.embed import hash_embedder
 from memloom.operators import graph
 from memloom.schemas import SCOPE
-from memloom.session import cut_lineage, spread
+from memloom.session import cut_lineage, ship_package, spread
 
 EPOCH = 1704067200  # 2024-01-01 UTC
 NOW = "2024-08-01 00:00:00"
@@ -19,6 +19,7 @@ LANGS = ["de", "en", "es", "fr"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name == "documents" else df
 

@@ -148,7 +148,7 @@ def tally_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def tally_wide(df: DataFrame, by: list[str], column: str = "type") -> DataFrame:
-    return df.groupBy(*by).pivot(column, MEMORY_TYPES).agg(F.count("*")).fillna(0)
+    return df.groupBy(*by).pivot(column, MEMORY_TYPES).agg(F.count(F.lit(1))).fillna(0)
 
 
 def with_scope_key(df: DataFrame) -> DataFrame:

@@ -38,9 +38,14 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def extract_json_object(texts: pd.Series) -> pd.Series:
-    return texts.map(_first_object)
+def extract_json_object(text: Column) -> Column:
+    """The first balanced JSON object of a text: bracket matching is beyond regular expressions."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_object)
+
+    return run(text)
 
 
 def parse_facts(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
