@@ -266,7 +266,7 @@ SELECT query_id, item_id, CASE WHEN length(flat) <= 240 THEN flat WHEN p0 IS NUL
 def snippet(spark, d):
     facts = v.items(spark, d).where(T("type") == "fact").select(*SCOPE, "item_id", "content")
     pairs = ops.scope_join(v.queries(spark, d), facts)
-    return pairs.select("query_id", "item_id", text.snippet(T("content"), T("query")).alias("snippet"))
+    return text.with_snippet(pairs, "content", "query").select("query_id", "item_id", "snippet")
 
 
 @query("content_hash", "SELECT doc_id, sha256(lang || chr(0) || text || chr(0)) AS h FROM documents")

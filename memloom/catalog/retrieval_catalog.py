@@ -64,13 +64,13 @@ s AS (SELECT *, greatest(0, p0 - 80) AS b FROM a)"""
 SELECT query_id, item_id, score, rank, CASE WHEN length(flat) <= 240 THEN flat WHEN p0 IS NULL THEN left(flat, 239) || '…'
  ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || trim(substr(flat, b + 1, least(length(flat), b + 240) - b)) || (CASE WHEN b + 240 < length(flat) THEN '…' ELSE '' END) END AS snippet FROM s""")
 def fts_search(spark, d):
-    from memloom.functions.text import snippet
+    from memloom.functions.text import with_snippet
 
     q, i = v.flat_queries(spark, d), v.flat_items(spark, d)
     top = fts.fts_branch(q, i, 10)
     full = fusion.hydrate(top, i.select("item_id", "content")).join(q.select("query_id", "query"), "query_id")
-    return full.select("query_id", "item_id", "score", T("rank").cast("long").alias("rank"),
-                       snippet(T("content"), T("query")).alias("snippet"))
+    return with_snippet(full, "content", "query").select(
+        "query_id", "item_id", "score", T("rank").cast("long").alias("rank"), "snippet")
 
 
 # --- vectors --------------------------------------------------------------------------------

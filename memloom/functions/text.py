@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words ignored by the tokenizer (English, then accent-free Vietnamese).
@@ -137,3 +137,11 @@ def snippet(content: Column, query: Column, max_chars: int = 240) -> Column:
     """One line of at most max_chars, centred on the earliest query token found."""
     flat = flatten_space(content)
     return snippet_of(flat, normalize_text(flat), tokenize(query), max_chars)
+
+
+def with_snippet(df: DataFrame, content: str, query: str, out: str = "snippet", max_chars: int = 240) -> DataFrame:
+    """The same as a column of df, with the flattened text computed once per row."""
+    staged = df.withColumn("_flat", flatten_space(F.col(content)))
+    flat = F.col("_flat")
+    hay = F.when(F.length(flat) > max_chars, normalize_text(flat))
+    return staged.withColumn(out, snippet_of(flat, hay, tokenize(F.col(query)), max_chars)).drop("_flat")

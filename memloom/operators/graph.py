@@ -151,10 +151,14 @@ def both_ways(relations: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
+def _neighbours(frontier: DataFrame, relations: DataFrame) -> DataFrame:
+    reached = frontier.select("query_id", "entity_id").join(both_ways(relations), "entity_id")
+    return reached.select("query_id", F.col("other").alias("entity_id"))
+
+
 def expand_frontier(frontier: DataFrame, relations: DataFrame) -> DataFrame:
     """Distinct neighbours of each query's frontier(query_id, entity_id)."""
-    reached = frontier.select("query_id", "entity_id").join(both_ways(relations), "entity_id")
-    return reached.select("query_id", F.col("other").alias("entity_id")).distinct()
+    return _neighbours(frontier, relations).distinct()
 
 
 def expand_unseen(neighbours: DataFrame, visited: DataFrame) -> DataFrame:
@@ -172,8 +176,9 @@ def graph_expand(seeds: DataFrame, relations: DataFrame, depth: int = 1, max_nod
     whole = Window.partitionBy("query_id")
     state = seeds.groupBy("query_id", "entity_id").agg(F.lit(0).alias("hop")).withColumn("over", F.lit(False))
     for hop in range(1, min(max(depth, 0), MAX_DEPTH) + 1):
-        frontier = state.where(F.col("hop") == hop - 1)
-        reached = expand_frontier(frontier, relations).select(
+        # A query that is already cut keeps its nodes: further steps could not add any.
+        frontier = state.where((F.col("hop") == hop - 1) & ~F.col("over"))
+        reached = _neighbours(frontier, relations).select(
             "query_id", "entity_id", F.lit(hop).alias("hop"), F.lit(False).alias("over")
         )
         merged = state.unionByName(reached).groupBy("query_id", "entity_id").agg(

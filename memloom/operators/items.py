@@ -15,12 +15,12 @@ LIST_LIMIT_MAX = 500
 def scope_join(requests: DataFrame, rows: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows visible to each request; a null project sees all of the user's projects.
 
-    Pinned and spanning requests are joined apart so that both stay equi-joins. The project
-    in the result is the row's own.
+    One equi-join on tenant and user (and `on`), with the project as a condition inside the
+    join, so the rows are read once. The project in the result is the row's own.
     """
-    pinned = requests.where(F.col("project").isNotNull()).join(rows, [*SCOPE, *on])
-    spanning = requests.where(F.col("project").isNull()).drop("project")
-    return pinned.unionByName(spanning.join(rows, ["tenant", "user_id", *on]))
+    wanted = requests.withColumnRenamed("project", "_wanted")
+    met = wanted.join(rows, ["tenant", "user_id", *on])
+    return met.where(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("project"))).drop("_wanted")
 
 
 def live_filter(items: DataFrame, include_superseded: bool = False) -> DataFrame:
