@@ -584,3 +584,28 @@ def parse_facts(spark, d):
 @query("transcript_to_candidates")
 def transcript_to_candidates(spark, d):
     return wb.transcript_to_candidates(v.messages(spark, d))[0].select("conversation_id", "type", "content", "confidence", "source")
+
+
+# --- streams, driven to the end over what is there ------------------------------------------------
+
+@query("stream_translate_stateful")
+def stream_translate_stateful(spark, d):
+    from memloom.streaming.translate import translate_stream
+
+    held = v.stream_lines(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(v.EPOCH) + T("seq")))
+    path, out, mark = (scratch_path(spark, label) for label in ("lines", "events", "mark"))
+    held.select(F.to_json(F.struct(*held.columns)).alias("value")).where(T("value").isNotNull()).write.text(path)
+    stream = translate_stream(tables.read_event_lines(spark, path, streaming=True))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("conversation_id", "turn", "seq", "idx", "type", "text", "tool_id", "name", "ok", "summary", "code", "message")
+
+
+@query("stream_writeback")
+def stream_writeback(spark, d):
+    from memloom.streaming.writeback import current_items
+    from memloom.streaming.writeback import stream_writeback as run
+
+    root, jobs, mark = (scratch_path(spark, label) for label in ("root", "queue", "mark"))
+    tables.enqueue_transcripts(tables.transcript_payload(v.messages(spark, d)), v.now()).write.parquet(jobs)
+    run(spark, jobs, root, mark, now=v.now()).awaitTermination()
+    return current_items(spark, f"{root}/items").select("item_id", "type", "source", "confidence", "superseded_by")

@@ -52,11 +52,26 @@ def keep_doc_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFra
     return files.where(markdown & ~skipped & ~hidden & (F.col("length") <= max_bytes))
 
 
-def read_docs(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, content, length) of the markdown files below root; size and path are checked before content is decoded."""
+def _dot_paths(spark: SparkSession, root: str, depth: int) -> list[str]:
+    """The wanted dot-directories below root: Spark's own listing leaves out every hidden name."""
+    fs_api = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for level in range(depth):
+        pattern = fs_api.Path("/".join([root.rstrip("/"), *["*"] * level, "{" + ",".join(DOT_DIRS) + "}"]))
+        matched = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        found += [status.getPath().toString() for status in matched or []]
+    return found
+
+
+def read_docs(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, dot_depth: int = 4) -> DataFrame:
+    """(path, content, length) of the markdown files below root; size and path are checked before content is decoded.
+
+    Dot-directories are looked for down to dot_depth levels.
+    """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{md,mdx,MD,MDX,Md,Mdx}").load(root)
+        .option("pathGlobFilter", "*.{md,mdx,MD,MDX,Md,Mdx}")
+        .load([root, *_dot_paths(spark, root, dot_depth)])
     )
     base = re.escape("/" + root.split("://")[-1].strip("/").removeprefix("file:").lstrip("/") + "/")
     relative = F.regexp_replace(F.col("path"), f"^.*?{base}", "")
