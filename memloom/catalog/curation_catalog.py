@@ -233,13 +233,12 @@ def budget_check(spark, d):
     return conv.budget_check(v.conversations(spark, d), v.usage(spark, d), 2.0).select("conversation_id", "allowed", "turns")
 
 
-@query("conversation_detail", f"""WITH {v.CONVS}, {v.USAGE}, s AS (SELECT conversation_id, sum(cost_usd) AS c, count(*) AS n FROM usage GROUP BY 1),
-m AS (SELECT conversation_id, string_agg(role || '=' || text, '|' ORDER BY turn) AS said FROM messages GROUP BY 1)
-SELECT c.conversation_id, said, round(coalesce(s.c, 0), 6) AS cost_usd, coalesce(s.n, 0) AS turns, 5.0::DOUBLE AS cost_ceiling_usd FROM convs c JOIN m USING (conversation_id) LEFT JOIN s ON s.conversation_id = c.conversation_id""")
+@query("conversation_detail", f"""WITH {v.CONVS}, {v.USAGE}, s AS (SELECT conversation_id, sum(cost_usd) AS c, count(*) AS n FROM usage GROUP BY 1)
+SELECT c.conversation_id, row_number() OVER (PARTITION BY c.conversation_id ORDER BY m.turn) AS position, m.role, m.text, round(coalesce(s.c, 0), 6) AS cost_usd,
+ coalesce(s.n, 0) AS turns, 5.0::DOUBLE AS cost_ceiling_usd FROM convs c JOIN messages m ON m.conversation_id = c.conversation_id LEFT JOIN s ON s.conversation_id = c.conversation_id""")
 def conversation_detail(spark, d):
     out = conv.conversation_detail(v.conversations(spark, d), v.messages(spark, d), v.usage(spark, d))
-    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["text"])), "|")
-    return out.select("conversation_id", said.alias("said"), F.round("cost_usd", 6).alias("cost_usd"), "turns", "cost_ceiling_usd")
+    return out.select("conversation_id", "position", "role", "text", F.round("cost_usd", 6).alias("cost_usd"), "turns", "cost_ceiling_usd")
 
 
 @query("recent_tail", f"""WITH {v.MESSAGES}, t AS (SELECT conversation_id, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS x FROM messages GROUP BY 1)

@@ -452,7 +452,7 @@ def is_memory_tool(spark, d):
     return v.table(spark, d, "events").select("event_id", render.is_memory_tool(name).alias("narrow"), render.is_memory_tool(name, True).alias("wide"))
 
 
-@query("render_transcript", f"WITH {v.MESSAGES} SELECT conversation_id, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM messages GROUP BY 1")
+@query("render_transcript", f"WITH {v.MESSAGES} SELECT conversation_id, 0 AS part, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM messages GROUP BY 1")
 def render_transcript(spark, d):
     from memloom.operators.conversations import render_transcript as run
     return run(v.messages(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.render import derive_title, js_trim
-from memloom.operators.items import scope_join
+from memloom.operators.items import numbered, scope_join
 from memloom.operators.knn import topk_per_query
 from memloom.schemas import SCOPE
 
@@ -14,6 +14,7 @@ COST_CEILING_USD = 5.0
 TRANSCRIPT_CHARS = 60_000
 OMITTED_MARK = "[…earlier turns omitted…]\n\n"
 _CHUNK_TURNS = 256
+_PART_TURNS = 4096
 
 
 def speaker_block(role, text):
@@ -37,8 +38,7 @@ def list_conversations(requests: DataFrame, conversations: DataFrame, messages:
 
 
 def ordered_messages(messages: DataFrame) -> DataFrame:
-    by = Window.partitionBy("conversation_id").orderBy("turn")
-    return messages.withColumn("position", F.row_number().over(by))
+    return numbered(messages, "conversation_id", "turn")
 
 
 def spend(usage: DataFrame) -> DataFrame:
@@ -62,44 +62,52 @@ def budget_check(conversations: DataFrame, usage: DataFrame, ceiling: float = CO
 
 
 def conversation_detail(conversations: DataFrame, messages: DataFrame, usage: DataFrame, ceiling: float = COST_CEILING_USD) -> DataFrame:
-    """One row per conversation with its ordered messages and spend."""
-    turns = messages.groupBy("conversation_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")
-    )
-    detail = conversations.join(turns, "conversation_id", "left").join(spend(usage), "conversation_id", "left")
-    return detail.fillna(0, ["cost_usd", "turns"]).withColumn("cost_ceiling_usd", F.lit(ceiling))
+    """Every message of each conversation in order, beside the conversation's spend.
+
+    Messages stay rows: a conversation of any length is never gathered into one.
+    """
+    head = conversations.join(spend(usage), "conversation_id", "left").fillna(0, ["cost_usd", "turns"])
+    said = ordered_messages(messages.select("conversation_id", "turn", "role", "text"))
+    return head.withColumn("cost_ceiling_usd", F.lit(ceiling)).join(said, "conversation_id", "left")
 
 
 def render_transcript(messages: DataFrame) -> DataFrame:
-    """One text per conversation: speaker blocks in turn order, a blank line between."""
-    lines = messages.select("conversation_id", F.struct("turn", speaker_block(F.col("role"), F.col("text")).alias("t")).alias("m"))
+    """Speaker blocks in turn order, a blank line between: one text per conversation and 4096 turns."""
+    lines = messages.select(
+        "conversation_id", F.floor(F.col("turn") / _PART_TURNS).alias("part"),
+        F.struct("turn", speaker_block(F.col("role"), F.col("text")).alias("t")).alias("m"),
+    )
     listed = F.array_sort(F.collect_list("m"))
-    return lines.groupBy("conversation_id").agg(
+    return lines.groupBy("conversation_id", "part").agg(
         F.array_join(F.transform(listed, lambda m: m["t"]), "\n\n").alias("transcript")
     )
 
 
-def recent_tail(messages: DataFrame, max_chars: int = TRANSCRIPT_CHARS) -> DataFrame:
-    """The last max_chars of each transcript, marked when something was cut.
+def tail_turns(messages: DataFrame, max_chars: int = TRANSCRIPT_CHARS) -> DataFrame:
+    """The turns that can reach into the last max_chars of a transcript, with its total length.
 
-    Turns far before the tail are dropped by chunk totals before any text is grouped, so a very
-    long conversation never gathers in one task.
+    Whole chunks of turns are dropped by their totals, so a very long conversation never
+    gathers in one task.
     """
-    blocks = messages.select(
-        "conversation_id", "turn", speaker_block(F.col("role"), F.col("text")).alias("t"),
-        F.floor(F.col("turn") / _CHUNK_TURNS).alias("chunk"),
-    ).withColumn("size", F.length("t") + 2)
-    sizes = blocks.groupBy("conversation_id", "chunk").agg(F.sum("size").alias("chunk_size"))
-    later = Window.partitionBy("conversation_id").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = messages.withColumn("_chunk", F.floor(F.col("turn") / _CHUNK_TURNS)).withColumn(
+        "_size", F.length(speaker_block(F.col("role"), F.col("text"))) + 2)
+    sizes = blocks.groupBy("conversation_id", "_chunk").agg(F.sum("_size").alias("_chunk_size"))
+    later = Window.partitionBy("conversation_id").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conversation_id")
     needed = sizes.withColumns({
-        "after": F.coalesce(F.sum("chunk_size").over(later), F.lit(0)),
-        "total": F.sum("chunk_size").over(whole) - 2,
-    }).where(F.col("after") <= max_chars).select("conversation_id", "chunk", "total")
-    kept = blocks.join(needed, ["conversation_id", "chunk"])
-    listed = F.array_sort(F.collect_list(F.struct("turn", "t")))
+        "_after": F.coalesce(F.sum("_chunk_size").over(later), F.lit(0)),
+        "total_chars": F.sum("_chunk_size").over(whole) - 2,
+    }).where(F.col("_after") <= max_chars).select("conversation_id", "_chunk", "total_chars")
+    return blocks.join(needed, ["conversation_id", "_chunk"]).drop("_chunk", "_size")
+
+
+def recent_tail(messages: DataFrame, max_chars: int = TRANSCRIPT_CHARS) -> DataFrame:
+    """The last max_chars of each transcript, marked when something was cut."""
+    kept = tail_turns(messages, max_chars)
+    block = speaker_block(F.col("role"), F.col("text")).alias("t")
+    listed = F.array_sort(F.collect_list(F.struct("turn", block)))
     joined = kept.groupBy("conversation_id").agg(
-        F.array_join(F.transform(listed, lambda m: m["t"]), "\n\n").alias("text"), F.first("total").alias("total")
+        F.array_join(F.transform(listed, lambda m: m["t"]), "\n\n").alias("text"), F.first("total_chars").alias("total")
     )
     cut = F.concat(F.lit(OMITTED_MARK), F.right(F.col("text"), F.lit(max_chars)))
     return joined.select("conversation_id", F.when(F.col("total") > max_chars, cut).otherwise(F.col("text")).alias("transcript"))

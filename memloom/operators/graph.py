@@ -13,6 +13,7 @@ from memloom.functions.text import normalize_text
 from memloom.operators.items import live_filter, scope_join
 from memloom.operators.knn import topk_per_query
 from memloom.schemas import SCOPE
+from memloom.session import cut_lineage
 
 # Bounds of linking and expansion.
 MAX_SEEDS = 8
@@ -206,10 +207,18 @@ def edges_within(reached: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def items_for_entities(reached: DataFrame, queries: DataFrame, links: DataFrame, items: DataFrame, limit: int) -> DataFrame:
-    """Live items attached to each query's entities, newest first, cut at limit links."""
+    """Live items attached to each query's entities, newest first, cut at limit links.
+
+    A query takes at most `limit` links of one entity, so only each entity's newest ones are
+    joined to the queries: an entity that half of all items mention stays cheap.
+    """
     slim = live_filter(items).select(*SCOPE, "item_id", "updated_at")
-    attached = reached.join(links, "entity_id").join(queries.select("query_id", *SCOPE), "query_id")
-    seen = scope_join(attached, slim, on=("item_id",))
+    wanted = reached.select("entity_id").distinct()
+    held = links.join(wanted, "entity_id", "left_semi").join(slim, "item_id")
+    newest = Window.partitionBy("entity_id", *SCOPE).orderBy(F.desc("updated_at"), "item_id")
+    top = held.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
+    asked = reached.join(queries.select("query_id", *SCOPE), "query_id")
+    seen = scope_join(asked, top, on=("entity_id",))
     return topk_per_query(seen, limit, ("-updated_at", "item_id", "entity_id"))
 
 
@@ -227,7 +236,8 @@ def graph_best_score(pairs: DataFrame) -> DataFrame:
 def graph_branch(queries: DataFrame, items: DataFrame, entities: DataFrame, relations: DataFrame, links: DataFrame, k: int, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Ranked hits and one status row per query (seeds found, truncated)."""
     seeds = link_entities(queries, entities)
-    reached = graph_expand(seeds, relations, depth)
+    # Read twice below, and at most max_nodes rows per query.
+    reached = cut_lineage(graph_expand(seeds, relations, depth))
     status = (
         queries.select("query_id")
         .join(reached.groupBy("query_id").agg(F.max("truncated").alias("truncated")), "query_id", "left")

@@ -151,5 +151,19 @@ def tally_wide(df: DataFrame, by: list[str], column: str = "type") -> DataFrame:
     return df.groupBy(*by).pivot(column, MEMORY_TYPES).agg(F.count(F.lit(1))).fillna(0)
 
 
+def numbered(df: DataFrame, key: str, order: str, out: str = "position", bits: int = 16) -> DataFrame:
+    """Row numbers per key in order of a unique long column, without sorting a whole key in one task.
+
+    Each window covers one range of 2^bits order values; counts of the earlier ranges are added.
+    """
+    ranged = df.withColumn("_range", F.shiftright(F.col(order), bits))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    return ranged.withColumn("_inside", inside).join(offsets, [key, "_range"]).withColumn(
+        out, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def with_scope_key(df: DataFrame) -> DataFrame:
     return df.withColumn("scope_key", scope_key(*[F.col(c) for c in SCOPE]))
