@@ -96,7 +96,11 @@ def query_terms(tokens: Column, limit: int = MAX_QUERY_TERMS) -> Column:
 
 
 def flatten_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
+    """Every run of white space becomes one space. Lone plain spaces are left without a match."""
+    plain, wide = r"\t\n\x0b\f\r", SPACE_CLASS.replace(" ", "", 1)
+    runs = lambda odd: f" [ {odd}]+|[{odd}][ {odd}]*"
+    return F.trim(F.when(is_ascii(c), F.regexp_replace(c, runs(plain), " ")).otherwise(
+        F.regexp_replace(c, runs(wide), " ")))
 
 
 def first_position(haystack: Column, needles: Column) -> Column:

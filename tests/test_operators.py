@@ -342,3 +342,9 @@ def test_titles_and_labels(spark):
     assert one(spark, render.derive_title(lit("  a\n b " + "c" * 80))) == ("a b " + "c" * 80)[:57] + "…"
     assert one(spark, render.slug(lit("Hello, World!! x"))) == "hello-world-x"
     assert one(spark, render.write_error(lit("fact"), lit(" "), lit("s"))) == "content is required"
+
+
+@pytest.mark.parametrize("raw", ["a  b\t c", " \n lead", "a b", "é \x0b x  y", "tail  　", " a  b", ""])
+def test_flatten_space(spark, raw):
+    import re
+    assert one(spark, text.flatten_space(lit(raw))) == re.sub(r"\s+", " ", raw).strip(" ")
