@@ -31,3 +31,12 @@ def op3_ring_shards(spark, sf_dir):
     from memloom.llm.ring import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pii")
+def op4_pii(spark, sf_dir):
+    from memloom.llm import pii
+
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
