@@ -40,3 +40,8 @@ def op4_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+@query("op7_secrets")
+def op7_secrets(spark, sf_dir):
+    from memloom.llm import secrets
+
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
