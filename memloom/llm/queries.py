@@ -45,3 +45,17 @@ def op7_secrets(spark, sf_dir):
     from memloom.llm import secrets
 
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def tokenizer_path() -> str:
+    """Where the public word-level vocabulary lies; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe")
+def op8_bpe(spark, sf_dir):
+    from memloom.llm.bpe import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
