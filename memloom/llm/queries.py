@@ -47,6 +47,13 @@ def op7_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    from memloom.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public word-level vocabulary lies; the same on every machine."""
     import public_tokenizers
