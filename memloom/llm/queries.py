@@ -66,3 +66,10 @@ def op8_bpe(spark, sf_dir):
     from memloom.llm.bpe import digest_documents
 
     return digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark, sf_dir):
+    from memloom.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
