@@ -73,3 +73,10 @@ def op5_fingerprints(spark, sf_dir):
     from memloom.llm.fingerprint import fingerprint_documents
 
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    from memloom.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
