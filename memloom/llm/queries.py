@@ -80,3 +80,10 @@ def op10_toxicity(spark, sf_dir):
     from memloom.llm.toxicity import toxicity_report
 
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_language")
+def op1_language(spark, sf_dir):
+    from memloom.llm.language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
