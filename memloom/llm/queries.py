@@ -87,3 +87,10 @@ def op1_language(spark, sf_dir):
     from memloom.llm.language import language_report
 
     return language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_vector_dedup")
+def op2_vector_dedup(spark, sf_dir):
+    from memloom.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
