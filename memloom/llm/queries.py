@@ -89,6 +89,13 @@ def op1_language(spark, sf_dir):
     return language_report(table(spark, sf_dir, "documents"))
 
 
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, sf_dir):
+    from memloom.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), n=4, part=85)
+
+
 @query("op2_vector_dedup")
 def op2_vector_dedup(spark, sf_dir):
     from memloom.llm.vectors import near_duplicates
