@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.columns import set_aside
 from memloom.llm.flat import LETTERS, flatten, pieces, span_hash, word_bounds
 
 BITS = 18
 PREFIXES = [4, 5]
 #: Bounds of the training sample: positives and unlabelled texts, drawn by hash over the whole tables.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
-LEAST_SEEN, LEAST_RATIO = 3, 2.0
+#: What a feature must have: positives that show it (a number, and a share of all), and its ratio to unlabelled.
+LEAST_SEEN, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 3.0
 THRESHOLD = 0.7
 
 
@@ -56,7 +58,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return weights, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     seen = [np.bincount(np.concatenate([*side, np.zeros(0, np.int64)]), minlength=1 << BITS) for side in (positive, unlabelled)]
     p, u = (seen[0] + 0.5) / (len(positive) + 1), (seen[1] + 0.5) / (len(unlabelled) + 1)
-    ratio = np.where((seen[0] >= LEAST_SEEN) & (p > LEAST_RATIO * u), np.log(p / u), 0.0)
+    ratio = np.where((seen[0] >= max(LEAST_SEEN, LEAST_SHARE * len(positive))) & (p > LEAST_RATIO * u), np.log(p / u), 0.0)
     chosen = np.flatnonzero(ratio)
     column = np.full(1 << BITS, -1)
     column[chosen] = np.arange(len(chosen))
@@ -160,4 +162,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` below THRESHOLD, all their columns kept."""
     learn = F.coalesce(remainder() != 1, F.lit(False))
-    return score(docs, train(docs, labels, learn), docs.columns).where(F.col("score") < THRESHOLD).drop("score")
+    rows, names = set_aside(docs, ["doc_id", "text"])
+    kept = score(rows, train(docs, labels, learn), rows.columns).where(F.col("score") < THRESHOLD)
+    return kept.drop("score").toDF(*names)
