@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm.flat import pieces
 
@@ -144,23 +146,43 @@ def loaded(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, tokens (array of ids) and decoded (the tokens' names joined by spaces, specials kept).
+def _lists(rows: list[list[tuple[int, str, str]]]) -> tuple[np.ndarray, pa.ListArray]:
+    """(tokens per text, ids as lists)."""
+    counts = np.array([sum([w[0] for w in words]) for words in rows], dtype=np.int64)
+    flat = np.fromstring(" ".join([w[1] for words in rows for w in words]), dtype=np.int32, sep=" ")
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    return counts, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
-    A null or empty text has no tokens and decodes to the empty text. Repeated rows are answered each.
+
+def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (default doc_id) with n_tokens and tokens, an array of ids.
+
+    A null or empty text has no tokens. Repeated rows are answered each.
     """
+    keep = keep or ["doc_id"]
+    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    schema = rows.drop("_text").schema.add("n_tokens", T.LongType()).add("tokens", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for piece in pieces(batch):
-                rows = list(bpe.encode(piece.column(1).to_pylist()))
-                ids = [[int(i) for w in words for i in w[1].split(" ")] for words in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join([w[2] for w in words]) for words in rows], pa.string())],
-                    ["doc_id", "tokens", "decoded"])
+            for piece in pieces(batch, "_text"):
+                counts, lists = _lists(list(bpe.encode(piece.column(len(keep)).to_pylist())))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(counts), lists], [*keep, "n_tokens", "tokens"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and decoded: the names of the tokens joined by spaces, specials kept; no tokens (or null): the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = loaded(path).names
+        for batch in batches:
+            texts = [" ".join([names[i] for i in ids or []]) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>, decoded string")
+    return encoded.select("doc_id", "tokens").mapInArrow(run, "doc_id long, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:

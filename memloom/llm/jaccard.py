@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import bitmap, trie
+from memloom.llm.columns import set_aside
 from memloom.llm.components import components
 from memloom.llm.flat import NON_SPACE, flatten, mix, pieces, span_hash, word_bounds
 from memloom.session import cut_lineage
@@ -228,11 +229,12 @@ def keep_one(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> D
 
     Rows of null doc_id cannot be named by a link and stay.
     """
+    docs, names = set_aside(docs, ["doc_id", "text"])
     found = cut_lineage(jaccard_classes(docs, n, part, whole), "jaccard-result")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = bitmap.without(docs, "doc_id", gone)
     again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return kept
+        return kept.toDF(*names)
     once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once).toDF(*names)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.llm.columns import set_aside
 from memloom.llm.flat import LETTERS, NON_SPACE, flatten, pieces, word_bounds
 from memloom.session import broadcast_if_small, cut_lineage
 
@@ -115,11 +116,12 @@ def mix(docs: DataFrame, source: str = "source", seed: int = 0) -> DataFrame:
     A source without words takes nothing, and a row of no words goes with its place in the order. Rows
     alike in doc_id and size stand or fall together. An empty table stays empty.
     """
-    names = docs.columns
-    plan = mixing_plan(with_keys(with_sizes(docs, ["doc_id", source]), source, seed))
-    keyed = with_keys(with_sizes(docs, names), source, seed)
+    docs, names = set_aside(docs, ["doc_id", "text", source])
+    plan = mixing_plan(cut_lineage(with_keys(with_sizes(docs, ["doc_id", source]), source, seed), "mix-sizes"))
+    keyed = with_keys(with_sizes(docs, docs.columns), source, seed)
     chosen = with_copies(keyed, plan).where(F.col("copies") > 0)
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return chosen.select(*docs.columns, again).drop("_copy").toDF(*names)
 
 
 def mix_report(docs: DataFrame, source: str = "source", seed: int = 0) -> DataFrame:
