@@ -80,7 +80,7 @@ def chain_marginals(scores: np.ndarray, counts: np.ndarray, move: np.ndarray) ->
     Exact whatever a text's length: chunks chain through their transfer matrices.
     """
     n, k = scores.shape
-    if not n:
+    if not n or not k:
         return scores
     step = np.exp(move - move.max())
     chunks = -(-counts // CHUNK)
