@@ -340,8 +340,8 @@ def stream_citations(spark, d):
     return out.select("conversation_id", "turn", "tool_id", F.explode("citations").alias("c")).select("conversation_id", "turn", "tool_id", "c.item_id", "c.snippet")
 
 
-@query("stream_init_errors", f"""WITH {_TURN} SELECT conversation_id, turn, 'upstream_failed' AS code, CASE WHEN n % 3 = 0 THEN 'The memory MCP server did not connect (failed), so this answer is not grounded in memory.'
- ELSE 'The memory server connected but this session has no memory tools. It offered: memory. Check that the allowed tools name that server.' END AS message FROM shape WHERE n % 3 = 0 OR n % 5 = 0""")
+@query("stream_init_errors", f"""WITH {_TURN} SELECT conversation_id, turn, 'upstream_failed' AS code, CASE WHEN n % 3 = 0 THEN 'MCP server memory is not connected (status: failed{events.LOST}'
+ ELSE '{events.MUTE}memory' END AS message FROM shape WHERE n % 3 = 0 OR n % 5 = 0""")
 def stream_init_errors(spark, d):
     return events.stream_init_errors(_parsed(spark, d)).select("conversation_id", "turn", "code", "message")
 

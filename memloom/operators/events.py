@@ -21,7 +21,9 @@ COLUMNS = {
     "session_id": "string", "input_tokens": "bigint", "output_tokens": "bigint",
     "cost_usd": "double", "stop_reason": "string",
 }
-UNGROUNDED = "so this answer is not grounded in memory."
+LOST = "): memory was not consulted for this answer."
+MUTE = "None of the tools in this session reads memory although a server is connected; allow its tools. Servers: "
+NO_REASON = "the run ended in an error without a message"
 
 
 def parse_lines(raw: DataFrame) -> DataFrame:
@@ -35,14 +37,6 @@ def _blocks(content: Column) -> Column:
     return F.when(content.startswith("["), F.from_json(content, EVENT_BLOCKS))
 
 
-def content_blocks(parsed: DataFrame, kind: str) -> DataFrame:
-    """One row per content block of the assistant or user messages."""
-    blocks = _blocks(F.col("e.message.content"))
-    return parsed.where(F.col("e.type") == kind).select(
-        *KEY, "seq", F.posexplode(blocks).alias("pos", "b")
-    )
-
-
 def _emit(df: DataFrame, idx: Column, **values: Column) -> DataFrame:
     return df.select(
         *KEY, "seq", idx.cast("long").alias("idx"),
@@ -50,34 +44,58 @@ def _emit(df: DataFrame, idx: Column, **values: Column) -> DataFrame:
     )
 
 
-def translate_delta(parsed: DataFrame) -> DataFrame:
-    """Streamed deltas and whole assistant text blocks as message.delta."""
-    delta = parsed.where(
-        (F.col("e.type") == "content_block_delta") & (F.col("e.delta.type") == "text_delta")
-        & F.col("e.delta.text").isNotNull()
-    )
-    whole = content_blocks(parsed, "assistant").where((F.col("b.type") == "text") & F.col("b.text").isNotNull())
-    kind = F.lit("message.delta")
-    return _emit(delta, F.lit(0), type=kind, text=F.col("e.delta.text")).unionByName(
-        _emit(whole, F.col("pos") * 2, type=kind, text=F.col("b.text"))
+def _list(rows: Column, schema: str) -> Column:
+    return F.coalesce(rows, F.array()).cast(f"array<struct<{schema}>>")
+
+
+def texts_of_line() -> Column:
+    """(idx, text) of a streamed delta, or of each text block of a whole assistant message."""
+    delta = F.when(
+        (F.col("e.type") == "content_block_delta") & (F.col("e.delta.type") == "text_delta") & F.col("e.delta.text").isNotNull(),
+        F.array(F.struct(F.lit(0).alias("idx"), F.col("e.delta.text").alias("text"))),
     )
+    told = F.transform(_blocks(F.col("e.message.content")), lambda b, i: F.struct(
+        (i * 2).alias("idx"), F.when(b["type"] == "text", b["text"]).alias("text")))
+    whole = F.when(F.col("e.type") == "assistant", F.filter(told, lambda t: t["text"].isNotNull()))
+    return _list(F.coalesce(delta, whole), "idx:bigint,text:string")
 
 
-def translate_tool_start(parsed: DataFrame) -> DataFrame:
+def starts_of_line() -> Column:
+    """(idx, tool_id, name, input) of each tool call that a line begins."""
     block = F.col("e.content_block")
-    streamed = parsed.where(
-        (F.col("e.type") == "content_block_start") & (block["type"] == "tool_use")
-        & (F.coalesce(block["id"], F.lit("")) != "") & (F.coalesce(block["name"], F.lit("")) != "")
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    call = lambda idx, b, name: F.struct(
+        idx.alias("idx"), b["id"].alias("tool_id"), name.alias("name"), F.coalesce(b["input"], F.lit("{}")).alias("input"))
+    streamed = F.when(
+        (F.col("e.type") == "content_block_start") & (block["type"] == "tool_use") & given(block["id"]) & given(block["name"]),
+        F.array(call(F.lit(0), block, block["name"])),
     )
-    whole = content_blocks(parsed, "assistant").where((F.col("b.type") == "tool_use") & F.col("b.id").isNotNull())
-    kind = F.lit("tool.start")
-    return _emit(
-        streamed, F.lit(0), type=kind, tool_id=block["id"], name=block["name"],
-        input=F.coalesce(block["input"], F.lit("{}")),
-    ).unionByName(_emit(
-        whole, F.col("pos") * 2, type=kind, tool_id=F.col("b.id"),
-        name=F.coalesce("b.name", F.lit("unknown")), input=F.coalesce("b.input", F.lit("{}")),
-    ))
+    told = F.transform(_blocks(F.col("e.message.content")), lambda b, i: F.when(
+        b["type"] == "tool_use", call(i * 2, b, F.coalesce(b["name"], F.lit("unknown")))))
+    whole = F.when(F.col("e.type") == "assistant", F.filter(told, lambda t: t["tool_id"].isNotNull()))
+    return _list(F.coalesce(streamed, whole), "idx:bigint,tool_id:string,name:string,input:string")
+
+
+def results_of_line() -> Column:
+    """(idx, tool_id, ok, body) of each tool result in a line."""
+    told = F.transform(_blocks(F.col("e.message.content")), lambda b, i: F.when(b["type"] == "tool_result", F.struct(
+        (i * 2).alias("idx"), F.coalesce(b["tool_use_id"], F.lit("")).alias("tool_id"),
+        (~F.coalesce(b["is_error"], F.lit(False))).alias("ok"), _plain_text(b["content"]).alias("body"))))
+    return _list(F.when(F.col("e.type") == "user", F.filter(told, lambda t: t.isNotNull())), "idx:bigint,tool_id:string,ok:boolean,body:string")
+
+
+def _each(parsed: DataFrame, rows: Column) -> DataFrame:
+    return parsed.select(*KEY, "seq", F.inline(rows))
+
+
+def translate_delta(parsed: DataFrame) -> DataFrame:
+    """Streamed deltas and whole assistant text blocks as message.delta."""
+    return _emit(_each(parsed, texts_of_line()), F.col("idx"), type=F.lit("message.delta"), text=F.col("text"))
+
+
+def translate_tool_start(parsed: DataFrame) -> DataFrame:
+    return _emit(_each(parsed, starts_of_line()), F.col("idx"), type=F.lit("tool.start"),
+                 tool_id=F.col("tool_id"), name=F.col("name"), input=F.col("input"))
 
 
 def _plain_text(content: Column) -> Column:
@@ -100,12 +118,7 @@ def tool_pairing(results: DataFrame, starts: DataFrame) -> DataFrame:
 
 def translate_tool_result(parsed: DataFrame) -> DataFrame:
     """tool.result with its tool's name, and citation events of memory tools."""
-    blocks = content_blocks(parsed, "user").where(F.col("b.type") == "tool_result")
-    raw = blocks.select(
-        *KEY, "seq", (F.col("pos") * 2).cast("long").alias("idx"),
-        F.coalesce("b.tool_use_id", F.lit("")).alias("tool_id"),
-        (~F.coalesce("b.is_error", F.lit(False))).alias("ok"), _plain_text(F.col("b.content")).alias("body"),
-    )
+    raw = _each(parsed, results_of_line())
     named = tool_pairing(raw, translate_tool_start(parsed))
     summary = F.when(F.col("ok"), summarize_tool_text(F.col("name"), F.col("body"))).otherwise(F.left("body", F.lit(200)))
     told = _emit(named, F.col("idx"), type=F.lit("tool.result"), tool_id=F.col("tool_id"), name=F.col("name"),
@@ -118,28 +131,28 @@ def stream_citations(named_results: DataFrame) -> DataFrame:
     return _emit(cited.where(F.size("c") > 0), F.col("idx") + 1, type=F.lit("citation"), tool_id=F.col("tool_id"), citations=F.col("c"))
 
 
-def stream_init_errors(parsed: DataFrame) -> DataFrame:
-    """Errors of the first init line: servers that did not connect, or no memory tools at all."""
-    first = Window.partitionBy(*KEY).orderBy("seq")
-    init = (
-        parsed.where((F.col("e.type") == "system") & (F.col("e.subtype") == "init"))
-        .withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
-    )
+def init_faults() -> Column:
+    """Messages of an init line: servers that did not connect, or no memory tools at all; null where all is well."""
     status = lambda s: F.coalesce(s["status"], F.lit("unknown"))
     servers = F.coalesce("e.mcp_servers", F.array().cast(EVENT_LINE["mcp_servers"].dataType))
     down = F.filter(servers, lambda s: status(s) != "connected")
     lost = F.transform(down, lambda s: F.concat(
-        F.lit("The "), F.coalesce(s["name"], F.lit("unnamed")), F.lit(" MCP server did not connect ("),
-        status(s), F.lit("), " + UNGROUNDED),
-    ))
+        F.lit("MCP server "), F.coalesce(s["name"], F.lit("without a name")), F.lit(" is not connected (status: "), status(s), F.lit(LOST)))
     names = F.array_join(F.transform(servers, lambda s: F.coalesce(s["name"], F.lit("?"))), ", ")
-    mute = F.concat(
-        F.lit("The memory server connected but this session has no memory tools. It offered: "), names,
-        F.lit(". Check that the allowed tools name that server."),
-    )
+    mute = F.concat(F.lit(MUTE), names)
     memory = F.exists(F.coalesce("e.tools", F.array().cast("array<string>")), lambda t: is_memory_tool(t, wide=True))
-    messages = F.when(F.size(down) > 0, lost).when((F.size(servers) > 0) & ~memory, F.array(mute))
-    rows = init.select(*KEY, "seq", F.posexplode(messages).alias("pos", "m"))
+    return F.when(F.size(down) > 0, lost).when((F.size(servers) > 0) & ~memory, F.array(mute))
+
+
+def is_init() -> Column:
+    return F.coalesce((F.col("e.type") == "system") & (F.col("e.subtype") == "init"), F.lit(False))
+
+
+def stream_init_errors(parsed: DataFrame) -> DataFrame:
+    """Errors of the first init line of a turn."""
+    first = Window.partitionBy(*KEY).orderBy("seq")
+    init = parsed.where(is_init()).withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)
+    rows = init.select(*KEY, "seq", F.posexplode(init_faults()).alias("pos", "m"))
     code = F.lit("upstream_failed")
     return _emit(rows, F.col("pos"), type=F.lit("error"), code=code, message=F.col("m"), retryable=retryable(code))
 
@@ -157,18 +170,18 @@ def text_accumulate(parsed: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEY).agg(F.array_join(F.transform(listed, lambda d: d["text"]), "").alias("text"))
 
 
+def has_text() -> Column:
+    """Whether a line carries any assistant text."""
+    late = (F.col("e.type") == "result") & ~F.coalesce("e.is_error", F.lit(False)) & (F.length("e.result") > 0)
+    return F.coalesce(late, F.lit(False)) | F.exists(texts_of_line(), lambda t: F.length(t["text"]) > 0)
+
+
 def _with_totals(parsed: DataFrame) -> DataFrame:
     """Running usage, cost, stop reason and whether text was seen, as of each line."""
     so_far = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("e.type")
-    blocks = _blocks(F.col("e.message.content"))
-    has_text = (
-        F.when(kind == "content_block_delta", (F.col("e.delta.type") == "text_delta") & (F.length("e.delta.text") > 0))
-        .when(kind == "assistant", F.exists(blocks, lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)))
-        .when(kind == "result", ~F.coalesce("e.is_error", F.lit(False)) & (F.length("e.result") > 0))
-    )
-    rows = session_id_asof(parsed).withColumn("_spoke", F.coalesce(has_text, F.lit(False)))
+    rows = session_id_asof(parsed).withColumn("_spoke", has_text())
     for name in ("input_tokens", "output_tokens"):
         added = F.when(kind == "assistant", F.coalesce(f"e.message.usage.{name}", F.lit(0))).otherwise(0)
         told = F.when(kind == "result", F.col(f"e.usage.{name}"))
@@ -192,7 +205,7 @@ def stream_result_event(parsed: DataFrame) -> DataFrame:
     failed = F.coalesce("e.is_error", F.lit(False))
     code = F.lit("runner_failed")
     errors = _emit(results.where(failed), F.lit(0), type=F.lit("error"), code=code,
-                   message=F.coalesce("e.result", F.lit("the model reported an error")), retryable=retryable(code))
+                   message=F.coalesce("e.result", F.lit(NO_REASON)), retryable=retryable(code))
     fine = results.where(~failed)
     late = _emit(fine.where(~F.col("_spoken") & (F.length("e.result") > 0)), F.lit(0),
                  type=F.lit("message.delta"), text=F.col("e.result"))
