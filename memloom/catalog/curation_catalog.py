@@ -168,7 +168,7 @@ def tally_wide(spark, d):
 
 @query("get_text", f"""WITH {v.VERSIONS} SELECT item_id, '[' || item_id || '] ' || type || chr(10) || 'source: ' || source || chr(10) || 'created: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z')
  || '  updated: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z') || '  confidence: ' || confidence || chr(10)
- || CASE WHEN superseded_by IS NOT NULL THEN 'SUPERSEDED BY ' || superseded_by || ' — this memory is out of date.' || chr(10) ELSE '' END || content AS report FROM items""")
+ || CASE WHEN superseded_by IS NOT NULL THEN 'replaced by: ' || superseded_by || chr(10) ELSE '' END || content AS report FROM items""")
 def get_text(spark, d):
     return reports.get_text(v.versions(spark, d))
 
@@ -242,7 +242,7 @@ def conversation_detail(spark, d):
 
 
 @query("recent_tail", f"""WITH {v.MESSAGES}, t AS (SELECT conversation_id, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS x FROM messages GROUP BY 1)
-SELECT conversation_id, CASE WHEN length(x) > 1500 THEN '[…earlier turns omitted…]' || chr(10) || chr(10) || right(x, 1500) ELSE x END AS transcript FROM t""")
+SELECT conversation_id, CASE WHEN length(x) > 1500 THEN '[older turns not shown]' || chr(10) || chr(10) || right(x, 1500) ELSE x END AS transcript FROM t""")
 def recent_tail(spark, d):
     return conv.recent_tail(v.messages(spark, d), 1500)
 

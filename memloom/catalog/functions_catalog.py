@@ -218,7 +218,8 @@ def section_quality_filter(spark, d):
     return kept.select("doc_id")
 
 
-_DEC = "(instead of|rather than|as opposed to)|(because|the reason|which is why|on purpose|deliberately|by design)|(trade[- ]?off|we rejected|we considered|not worth)|we (chose|picked|decided|settled|went with|use|prefer)|(quy[eế]t đ[iị]nh|l[yý] do|thay v[iì]|b[oở]i v[iì]|ch[uọ]n)"
+# Fixed values, in the order of functions.render.
+_DEC = "we (chose|picked|decided|settled|went with|use|prefer)|(instead of|rather than|as opposed to)|(because|the reason|which is why|on purpose|deliberately|by design)|(trade[- ]?off|we rejected|we considered|not worth)|(quy[eế]t đ[iị]nh|l[yý] do|thay v[iì]|b[oở]i v[iì]|ch[uọ]n)"
 
 
 @query("promote_decision", f"WITH {v.ITEMS} SELECT item_id, CASE WHEN type = 'artifact' AND regexp_matches(content, '{_DEC}', 'i') THEN 'decision' ELSE type END AS type FROM items")

@@ -375,8 +375,8 @@ def distinct_item_ids(spark, d):
 @query("fusion_report", f"""WITH {_BRANCHES}, b AS (SELECT q.query_id, x.branch, x.o FROM queries q, (VALUES ('vector', 1), ('fts', 2), ('graph', 3)) x(branch, o)),
 c AS (SELECT query_id, branch, count(*) AS n FROM hits GROUP BY 1, 2),
 g AS (SELECT q.query_id, max(s.cut::INT) AS cut FROM queries q LEFT JOIN s1 s ON s.query_id = q.query_id GROUP BY 1),
-r AS (SELECT b.query_id, b.branch, b.o, coalesce(c.n, 0) AS n, CASE WHEN b.branch = 'graph' AND g.cut IS NULL THEN 'no entity in this scope matched the query text'
-  WHEN b.branch = 'graph' AND g.cut = 1 THEN 'subgraph hit the node cap and was truncated' WHEN coalesce(c.n, 0) = 0 THEN 'Branch ran and matched nothing.' END AS reason
+r AS (SELECT b.query_id, b.branch, b.o, coalesce(c.n, 0) AS n, CASE WHEN b.branch = 'graph' AND g.cut IS NULL THEN 'the query names no entity of its scope'
+  WHEN b.branch = 'graph' AND g.cut = 1 THEN 'more nodes than the cap' WHEN coalesce(c.n, 0) = 0 THEN 'no hits' END AS reason
   FROM b LEFT JOIN c ON c.query_id = b.query_id AND c.branch = b.branch JOIN g ON g.query_id = b.query_id)
 SELECT query_id, string_agg(branch || '=' || n, ',' ORDER BY branch) AS branches, coalesce(string_agg(branch || ': ' || reason, '; ' ORDER BY o) FILTER (reason IS NOT NULL), '') AS degraded FROM r GROUP BY 1""")
 def fusion_report(spark, d):

@@ -10,6 +10,11 @@ from memloom.functions.text import SPACE_CLASS
 MEMORY_TOOL = r"^mcp__memory__"
 ANY_MEMORY_TOOL = r"^mcp__[A-Za-z0-9_-]*memory[A-Za-z0-9_-]*__"
 
+# Beginnings of reports that summarize_tool_text reads back, and what it makes of them.
+FOUND, NOTHING_FOUND, STORED, KNOWN = "%d item(s) matched", "No memory matched", "Stored as", "Already known"
+SHORT_FORMS = {NOTHING_FOUND: "no memories matched", STORED: "stored a new memory", KNOWN: "already knew this"}
+PLAIN_CHARS, LINE_CHARS, TITLE_CHARS = 200, 120, 60
+
 # Commit trailers that carry no reasoning.
 TRAILERS = ["Co-Authored-By", "Signed-off-by", "Claude-Session", "Reviewed-by"]
 
@@ -85,20 +90,20 @@ def summarize_tool_text(name: Column, text: Column) -> Column:
     matched = F.regexp_extract(text, r"(?m)^(\d+) item\(s\) matched", 1)
     return (
         F.when(js_trim(text) == "", "done")
-        .when(~is_memory_tool(name), F.left(text, F.lit(200)))
+        .when(~is_memory_tool(name), F.left(text, F.lit(PLAIN_CHARS)))
         .when(matched != "", F.concat(F.lit("found "), matched, F.lit(" memories")))
-        .when(text.startswith("No memory matched"), "no memories matched")
-        .when(text.startswith("Stored as"), "stored a new memory")
-        .when(text.startswith("Already known"), "already knew this")
-        .otherwise(F.left(F.element_at(F.split(text, "\n", -1), 1), F.lit(120)))
+        .when(text.startswith(NOTHING_FOUND), SHORT_FORMS[NOTHING_FOUND])
+        .when(text.startswith(STORED), SHORT_FORMS[STORED])
+        .when(text.startswith(KNOWN), SHORT_FORMS[KNOWN])
+        .otherwise(F.left(F.element_at(F.split(text, "\n", -1), 1), F.lit(LINE_CHARS)))
     )
 
 
 def derive_title(message: Column) -> Column:
     """First-line title of at most 60 characters."""
     line = js_trim(F.regexp_replace(message, f"[{SPACE_CLASS}]+", " "))
-    return F.when(F.length(line) <= 60, line).otherwise(
-        F.concat(F.left(line, F.lit(57)), F.lit("…"))
+    return F.when(F.length(line) <= TITLE_CHARS, line).otherwise(
+        F.concat(F.left(line, F.lit(TITLE_CHARS - 3)), F.lit("…"))
     )
 
 

@@ -12,7 +12,7 @@ from memloom.schemas import SCOPE
 
 COST_CEILING_USD = 5.0
 TRANSCRIPT_CHARS = 60_000
-OMITTED_MARK = "[…earlier turns omitted…]\n\n"
+OMITTED_MARK = "[older turns not shown]\n\n"
 _CHUNK_TURNS = 256
 _PART_TURNS = 4096
 
@@ -55,8 +55,7 @@ def budget_check(conversations: DataFrame, usage: DataFrame, ceiling: float = CO
     )
     over = F.lit(ceiling > 0) & (F.col("cost_usd") >= ceiling)
     message = F.format_string(
-        "This conversation has spent $%.2f over %d turns, which is at or above "
-        f"the ${ceiling:.2f} ceiling.", "cost_usd", "turns",
+        f"Budget of ${ceiling:.2f} used up: $%.2f in %d turns.", "cost_usd", "turns",
     )
     return joined.withColumns({"allowed": ~over, "message": F.when(over, message)})
 

@@ -69,7 +69,7 @@ def fusion_report(
         .join(status, ["query_id", "branch"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
-    nothing = F.when(F.col("n") == 0, F.coalesce("degraded_reason", F.lit("Branch ran and matched nothing.")))
+    nothing = F.when(F.col("n") == 0, F.coalesce("degraded_reason", F.lit("no hits")))
     rows = rows.withColumn("reason", F.coalesce("unavailable_reason", nothing, "degraded_reason"))
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("branch"))
     listed = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct(order.alias("o"), "branch", "reason"))))

@@ -60,12 +60,12 @@ def run_branches(
     )
     text = fts.fts_branch(queries, store.items, k, config.fts_rank, config.include_superseded, store.index)
     branches = {"vector": vector, "fts": text}
-    no_terms = F.when(F.size(tokenize(F.col("query"))) == 0, "query had no indexable terms after stopword removal")
+    no_terms = F.when(F.size(tokenize(F.col("query"))) == 0, "only stop words asked")
     none = F.lit(None).cast("string")
     status = queries.select("query_id", F.lit("fts").alias("branch"), none.alias("unavailable_reason"), no_terms.alias("degraded_reason"))
     off = store.entities is None or config.graph_depth <= 0
     if off:
-        reason = "graph expansion disabled (depth 0)" if config.graph_depth <= 0 else "no entity tables"
+        reason = "switched off by depth 0" if config.graph_depth <= 0 else "no entity tables"
         graph_status = queries.select(
             "query_id", F.lit("graph").alias("branch"), F.lit(reason).alias("unavailable_reason"), none.alias("degraded_reason")
         )
@@ -74,8 +74,8 @@ def run_branches(
             queries, store.items, store.entities, store.relations, store.links, k, config.graph_depth
         )
         branches["graph"] = hits
-        why = F.when(~F.col("linked"), "no entity in this scope matched the query text").when(
-            F.col("truncated"), "subgraph hit the node cap and was truncated"
+        why = F.when(~F.col("linked"), "the query names no entity of its scope").when(
+            F.col("truncated"), "more nodes than the cap"
         )
         graph_status = linked.select(
             "query_id", F.lit("graph").alias("branch"), none.alias("unavailable_reason"), why.alias("degraded_reason")

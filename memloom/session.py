@@ -14,12 +14,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is named."""
+    """The cluster's checkpoint folder; where none is named, a local master gets a temporary one and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path and context.getCheckpointDir():
         path = context.getCheckpointDir()
     if not path:
+        # Executors of a cluster would each write to a folder of their own.
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-memloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if not context.getCheckpointDir():
