@@ -74,10 +74,11 @@ def flat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat items; a text copied later is superseded by its newest copy."""
     base = flat_items(spark, sf_dir)
-    newest = base.groupBy("content").agg(F.max("item_id").alias("newest"))
-    return base.join(newest, "content").withColumn(
+    base = base.withColumn("_text", F.sha2("content", 256))
+    newest = base.groupBy("_text").agg(F.max("item_id").alias("newest"))
+    return base.join(newest, "_text").withColumn(
         "superseded_by", F.when(F.col("newest") != F.col("item_id"), F.col("newest"))
-    ).drop("newest")
+    ).drop("newest", "_text")
 
 
 def _embedded(build):
@@ -114,9 +115,8 @@ def flat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose entities are the longer words among the first twelve of their text."""
-    words = F.slice(F.split(F.lower("content"), r"[^a-z]+"), 1, 12)
-    kept = F.filter(words, lambda w: F.length(w) > 3)
+    """Items whose entities are the capitalised words of six letters or more anywhere in their text."""
+    kept = F.transform(F.filter(F.split("content", "[^A-Za-z]+"), lambda w: w.rlike("^[A-Z][a-z]{5,}$")), F.lower)
     kind = lambda w: F.when(F.length(w) % 3 == 0, "component").otherwise("concept")
     listed = F.transform(kept, lambda w: F.struct(w.alias("name"), kind(w).alias("kind")))
     return graph.named_entities(items(spark, sf_dir).select(*SCOPE, "item_id", "seq", listed.alias("entities")))
@@ -288,9 +288,9 @@ def vectors(source: str, key: str, text: str, out: str) -> str:
     """Sparse hashed unit vectors (key, bucket, w) in single precision."""
     return f"""{out}_tf AS (SELECT {key}, token, count(*) AS n FROM
   (SELECT {key}, unnest({tokens(text)}) AS token FROM {source}) GROUP BY ALL),
-{out}_raw AS (SELECT {key}, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 384 AS bucket,
-  sum((CASE WHEN CAST('0x' || substr(sha256(token), 10, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (1 + ln(n))) AS w
-  FROM {out}_tf GROUP BY ALL),
+{out}_signs AS (SELECT {key}, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 384 AS bucket, n,
+  sum(CASE WHEN CAST('0x' || substr(sha256(token), 10, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS signs FROM {out}_tf GROUP BY ALL),
+{out}_raw AS (SELECT {key}, bucket, sum(signs * (1 + ln(n))) AS w FROM {out}_signs GROUP BY ALL),
 {out}_len AS (SELECT {key}, sqrt(sum(w * w)) AS len FROM {out}_raw GROUP BY 1),
 {out} AS (SELECT {key}, bucket, CAST(w / len AS FLOAT)::DOUBLE AS w FROM {out}_raw JOIN {out}_len USING ({key}) WHERE len > 0 AND w <> 0),
 {out}_norm AS (SELECT {key}, sqrt(sum(w * w)) AS len FROM {out} GROUP BY 1)"""
@@ -298,7 +298,7 @@ def vectors(source: str, key: str, text: str, out: str) -> str:
 
 MENTIONS = ITEMS + """,
 listed AS (SELECT tenant, user_id, project, item_id, seq,
-  list_filter(string_split_regex(lower(content), '[^a-z]+')[1:12], lambda w: length(w) > 3) AS names FROM items),
+  list_transform(list_filter(string_split_regex(content, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{5,}$')), lambda w: lower(w)) AS names FROM items),
 exploded AS (SELECT tenant, user_id, project, item_id, seq, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM listed),
 mentions AS (SELECT *, name AS name_norm, CASE WHEN length(name) % 3 = 0 THEN 'component' ELSE 'concept' END AS kind,
   'ent_' || substr(sha256(tenant || '/' || user_id || '/' || project || chr(0) || name || chr(0)), 1, 16) AS entity_id FROM exploded)"""

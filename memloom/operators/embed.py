@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from functools import lru_cache
 from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import STOPWORDS, normalize_text, tokens_of_normalized
@@ -46,19 +46,16 @@ def token_counts(df: DataFrame, text: str, keys: list[str], wanted: DataFrame |
 
 def sparse_embedding(df: DataFrame, text: str, key: str, dims: int = EMBEDDING_DIMS) -> DataFrame:
     """(key, bucket, w) of the unit vector, with the non-zero buckets only."""
-    placed = df.repartition(key)
-    weight = token_sign(F.col("token")) * (1.0 + F.log(F.col("tf").cast("double")))
-    buckets = (
-        token_counts(placed, text, [key])
-        .groupBy(key, token_bucket(F.col("token"), dims).alias("bucket"))
-        .agg(F.sum(weight).alias("w"))
-    )
-    norms = buckets.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (
-        buckets.join(norms, key)
-        .where((F.col("w") != 0) & (F.col("norm") > 0))
-        .select(key, "bucket", (F.col("w") / F.col("norm")).alias("w"))
-    )
+    # Counted before any shuffle; partitioned by key, the steps after it need none.
+    counts = token_counts(df, text, [key]).repartition(key)
+    signs = counts.groupBy(key, token_bucket(F.col("token"), dims).alias("bucket"), "tf").agg(
+        F.sum(token_sign(F.col("token")).cast("int")).alias("signs"))
+    # Signs add up exactly, so tokens that cancel leave no residue; tf order fixes the rounding.
+    ordered = F.array_sort(F.collect_list(F.struct("tf", "signs")))
+    weight = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["signs"] * (1.0 + F.log(x["tf"].cast("double"))))
+    buckets = signs.groupBy(key, "bucket").agg(weight.alias("w")).where("w <> 0")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return buckets.select(key, "bucket", (F.col("w") / norm).alias("w"))
 
 
 def dense_vector(sparse: DataFrame, key: str, dims: int = EMBEDDING_DIMS) -> DataFrame:
@@ -70,9 +67,9 @@ def dense_vector(sparse: DataFrame, key: str, dims: int = EMBEDDING_DIMS) -> Dat
 
 
 @lru_cache(maxsize=1 << 18)
-def _placement(token: str, dims: int) -> tuple[int, float]:
+def _placement(token: str, dims: int) -> tuple[int, int]:
     digest = hashlib.sha256(token.encode("utf-8")).digest()
-    return int.from_bytes(digest[:4], "big") % dims, -1.0 if digest[4] & 1 else 1.0
+    return int.from_bytes(digest[:4], "big") % dims, -1 if digest[4] & 1 else 1
 
 
 def hash_vector(dims: int = EMBEDDING_DIMS):
@@ -80,15 +77,19 @@ def hash_vector(dims: int = EMBEDDING_DIMS):
 
     @F.pandas_udf("array<float>")
     def embed(tokens: pd.Series) -> pd.Series:
-        out = []
-        for words in tokens:
-            vector = np.zeros(dims)
-            for word, n in Counter(words if words is not None else ()).items():
-                bucket, sign = _placement(word, dims)
-                vector[bucket] += sign * (1.0 + math.log(n))
-            length = math.sqrt(float(vector @ vector))
-            out.append((vector / length if length else vector).astype(np.float32))
-        return pd.Series(out)
+        lists = pa.array(tokens, pa.list_(pa.string())).fill_null([])
+        words = lists.flatten().dictionary_encode()
+        placed = [_placement(w, dims) for w in words.dictionary.to_pylist()]
+        bucket, sign = np.array([b for b, _ in placed], dtype=np.int64), np.array([s for _, s in placed], dtype=np.int64)
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        # Term counts per row, then signs per (row, bucket, count): sums of whole numbers, so what cancels is gone.
+        pair, tf = np.unique(np.stack([row, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)]), axis=1, return_counts=True)
+        cell, at = np.unique(np.stack([pair[0], bucket[pair[1]] if len(pair[1]) else pair[1], tf]), axis=1, return_inverse=True)
+        signs = np.bincount(at.ravel(), weights=sign[pair[1]] if len(pair[1]) else None, minlength=cell.shape[1])
+        vectors = np.zeros((len(lists), dims))
+        np.add.at(vectors, (cell[0], cell[1]), signs * (1.0 + np.log(np.maximum(cell[2], 1))))
+        lengths = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        return pd.Series(list(np.divide(vectors, lengths, out=vectors, where=lengths > 0).astype(np.float32)))
 
     return embed
 

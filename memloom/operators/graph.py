@@ -19,7 +19,6 @@ from memloom.session import cut_lineage
 MAX_SEEDS = 8
 MAX_DEPTH = 3
 MAX_NODES = 200
-MAX_ITEM_ENTITIES = 32
 EDGE_FIRST = 1.0
 EDGE_STEP = 0.25
 EDGE_CAP = 5.0
@@ -27,12 +26,13 @@ EDGE_CAP = 5.0
 _GRAM = 3
 
 
-def named_entities(items: DataFrame) -> DataFrame:
-    """One row per usable entity mention of items(item_id, seq, scope, entities array<struct<name,kind>>)."""
-    mentions = items.select(
-        *SCOPE, "item_id", "seq",
-        F.posexplode(F.slice("entities", 1, MAX_ITEM_ENTITIES)).alias("pos", "e"),
-    )
+def named_entities(items: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per usable entity mention of items(item_id, seq, scope, entities array<struct<name,kind>>).
+
+    All entities of an item count unless `most` keeps only its first ones.
+    """
+    given = F.col("entities") if most is None else F.slice("entities", 1, most)
+    mentions = items.select(*SCOPE, "item_id", "seq", F.posexplode(given).alias("pos", "e"))
     named = mentions.select(
         *SCOPE, "item_id", "seq", "pos",
         js_trim(F.col("e.name")).alias("name"),
@@ -62,7 +62,7 @@ def dedupe_links(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def cooccurrence_pairs(mentions: DataFrame) -> DataFrame:
-    """Ordered pairs of an item's distinct entities: at most 32 names, so at most 496 pairs per item."""
+    """Ordered pairs of an item's distinct entities, as many as its own list gives."""
     firsts = mentions.groupBy("item_id", "seq", "entity_id").agg(F.min("pos").alias("pos"))
     listed = firsts.groupBy("item_id", "seq").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity_id"))), lambda e: e["entity_id"]).alias("ids")
