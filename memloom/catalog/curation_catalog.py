@@ -365,9 +365,9 @@ def usage_rollup(spark, d):
     return events.usage_rollup(_parsed(spark, d))
 
 
-@query("stream_result_event", f"""WITH {_TURN} SELECT conversation_id, turn, 'error' AS type, left(text, 30) AS said, CAST(NULL AS VARCHAR) AS session_id FROM shape WHERE n % 7 = 0
+@query("stream_result_event", f"""WITH {_TURN} SELECT conversation_id, turn, 'error' AS type, text AS said, CAST(NULL AS VARCHAR) AS session_id FROM shape WHERE n % 7 = 0
  UNION ALL SELECT conversation_id, turn, 'message.done', NULL, 's' || n FROM shape WHERE n % 7 <> 0
- UNION ALL SELECT conversation_id, turn, 'message.delta', left(text, 30), NULL FROM shape WHERE n % 7 <> 0 AND n % 4 = 0 AND length(text) > 0""")
+ UNION ALL SELECT conversation_id, turn, 'message.delta', text, NULL FROM shape WHERE n % 7 <> 0 AND n % 4 = 0 AND length(text) > 0""")
 def stream_result_event(spark, d):
     out = events.stream_result_event(_parsed(spark, d))
     return out.select("conversation_id", "turn", "type", F.coalesce("message", "text").alias("said"), "session_id")
@@ -403,7 +403,7 @@ def usage_sessions(spark, d):
 
 _GOLD = "gold AS (SELECT 'q' || b.item_id AS query_id, 'item_' || lpad(d.doc_id::VARCHAR, 8, '0') AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _RUN = f"""{v.FLAT}, {v.FLAT_QUERIES}, {_GOLD},
-terms AS (SELECT DISTINCT query_id, unnest(({v.tokens('query')})[1:24]) AS token FROM queries),
+terms AS (SELECT DISTINCT query_id, unnest({v.tokens('query')}) AS token FROM queries),
 post AS (SELECT DISTINCT item_id, updated_at, token FROM (SELECT item_id, updated_at, unnest({v.tokens('content')}) AS token FROM items)),
 got AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, any_value(updated_at) DESC, item_id) AS rank FROM terms JOIN post USING (token) GROUP BY 1, 2 QUALIFY rank <= 10),
 asked AS (SELECT query_id, CAST(substr(query_id, 2) AS BIGINT) * 7 % 101 + 0.5::DOUBLE AS latency_ms FROM queries),

@@ -210,12 +210,13 @@ def path_classify(spark, d):
     return doc_files(spark, d).select("path", F.when(rule.isNotNull(), F.concat_ws("/", rule["type"], rule["kind"])).alias("rule"))
 
 
-@query("section_quality_filter", "SELECT doc_id FROM documents WHERE length(text) >= 1500 AND length(trim(regexp_replace(text, '(?s)th.*?ing', '', 'g'), chr(10) || ' ')) >= 750")
+@query("section_quality_filter", """WITH s AS (SELECT doc_id, text || chr(10) || '```' || chr(10) || repeat('x = 1' || chr(10), CAST(doc_id % 400 AS INT)) || '```' || chr(10) AS body,
+ length(trim(text, chr(10) || ' ')) AS prose FROM documents) SELECT doc_id FROM s WHERE length(body) >= 1500 AND prose >= 750""")
 def section_quality_filter(spark, d):
-    fenced = F.regexp_replace("text", r"(?s)th(.*?)ing", "```$1```")
-    sections = v.table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), fenced.alias("body"))
-    kept = docs.section_quality_filter(sections.where(T("n") >= 1500), 1500)
-    return kept.select("doc_id")
+    # Whole texts with a fenced listing of varying length behind them.
+    code = F.concat(F.lit("\n```\n"), F.repeat(F.lit("x = 1\n"), (T("doc_id") % 400).cast("int")), F.lit("```\n"))
+    sections = v.table(spark, d, "documents").select("doc_id", F.concat("text", code).alias("body"))
+    return docs.section_quality_filter(sections, 1500).select("doc_id")
 
 
 # Fixed values, in the order of functions.render.
@@ -244,7 +245,7 @@ def token_set(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.token_set(T("text"))), " ").alias("t"))
 
 
-@query("query_terms", f"SELECT item_id, array_to_string(({v.tokens('text')})[1:24], ' ') AS t FROM benchmark")
+@query("query_terms", f"SELECT item_id, array_to_string({v.tokens('text')}, ' ') AS t FROM benchmark")
 def query_terms(spark, d):
     return v.table(spark, d, "benchmark").select("item_id", F.array_join(text.query_terms(text.tokenize(T("text"))), " ").alias("t"))
 
@@ -258,15 +259,14 @@ def jaccard(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(T("s"), T("s2")), 9).alias("score"))
 
 
-@query("snippet", f"""WITH {v.ITEMS}, {v.QUERIES}, p AS (SELECT q.query_id, i.item_id, trim(regexp_replace(i.content, '\\s+', ' ', 'g')) AS flat, q.query FROM queries q JOIN items i ON {v.IN_SCOPE} AND i.type = 'fact'),
+@query("snippet", f"""WITH {v.ITEMS}, {v.QUERIES}, p AS (SELECT q.query_id, i.item_id, trim(regexp_replace(i.content, '\\s+', ' ', 'g')) AS flat, q.query FROM queries q JOIN items i ON {v.IN_SCOPE}),
 n AS (SELECT query_id, item_id, flat, {v.norm('flat')} AS hay, {v.tokens('query')} AS needles FROM p),
 a AS (SELECT query_id, item_id, flat, list_min(list_filter(list_transform(needles, lambda x: instr(hay, x)), lambda x: x > 0)) - 1 AS p0 FROM n),
 s AS (SELECT query_id, item_id, flat, p0, greatest(0, p0 - 80) AS b FROM a)
 SELECT query_id, item_id, CASE WHEN length(flat) <= 240 THEN flat WHEN p0 IS NULL THEN left(flat, 239) || '…'
  ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || trim(substr(flat, b + 1, least(length(flat), b + 240) - b)) || (CASE WHEN b + 240 < length(flat) THEN '…' ELSE '' END) END AS snippet FROM s""")
 def snippet(spark, d):
-    facts = v.items(spark, d).where(T("type") == "fact").select(*SCOPE, "item_id", "content")
-    pairs = ops.scope_join(v.queries(spark, d), facts)
+    pairs = ops.scope_join(v.queries(spark, d), v.items(spark, d).select(*SCOPE, "item_id", "content"))
     return text.with_snippet(pairs, "content", "query").select("query_id", "item_id", "snippet")
 
 
@@ -404,9 +404,9 @@ def hop_score(spark, d):
     return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scoring.hop_score(T("l_linenumber")), 9).alias("s"))
 
 
-@query("slug", "SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 100)), '[^A-Za-z0-9_]+', '-', 'g'), '^-|-$', '', 'g'), 60) AS s FROM documents")
+@query("slug", "SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_]+', '-', 'g'), '^-|-$', '', 'g'), 60) AS s FROM documents")
 def slug(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", render.slug(F.left("text", F.lit(100))).alias("s"))
+    return v.table(spark, d, "documents").select("doc_id", render.slug(T("text")).alias("s"))
 
 
 @query("strip_trailers", "SELECT o_orderkey, 'Fix ' || o_orderstatus || chr(10) || chr(10) || o_orderpriority AS m FROM orders")
@@ -453,7 +453,7 @@ def is_memory_tool(spark, d):
     return v.table(spark, d, "events").select("event_id", render.is_memory_tool(name).alias("narrow"), render.is_memory_tool(name, True).alias("wide"))
 
 
-@query("render_transcript", f"WITH {v.MESSAGES} SELECT conversation_id, 0 AS part, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM messages GROUP BY 1")
+@query("render_transcript", f"WITH {v.MESSAGES} SELECT conversation_id, string_agg((CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM messages GROUP BY 1")
 def render_transcript(spark, d):
     from memloom.operators.conversations import render_transcript as run
     return run(v.messages(spark, d))
@@ -467,7 +467,7 @@ def entities_of(spark, d):
 
 @query("parse_citations", f"WITH {v.ITEMS} SELECT item_id, type, strftime(created_at, '%Y-%m-%d') AS day, source FROM items")
 def parse_citations(spark, d):
-    block = F.concat(render.item_label(T("item_id"), T("type"), T("created_at"), T("source")), F.lit("\n"), F.left("content", F.lit(50)), F.lit("\n\nend"))
+    block = F.concat(render.item_label(T("item_id"), T("type"), T("created_at"), T("source")), F.lit("\n"), T("content"), F.lit("\n\nend"))
     cited = v.items(spark, d).select(F.explode(render.parse_citations(block)).alias("c"))
     return cited.select("c.item_id", "c.type", "c.day", "c.source")
 

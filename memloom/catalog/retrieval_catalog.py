@@ -17,12 +17,12 @@ K = 40
 
 # --- full text ------------------------------------------------------------------------------
 
-_TERMS = f"""terms AS (SELECT DISTINCT query_id, tenant, user_id, project, unnest(({v.tokens('query')})[1:24]) AS token FROM queries),
+_TERMS = f"""terms AS (SELECT DISTINCT query_id, tenant, user_id, project, unnest({v.tokens('query')}) AS token FROM queries),
 postings AS (SELECT item_id, tenant, user_id, project, updated_at, token, count(*) AS tf FROM
  (SELECT item_id, tenant, user_id, project, updated_at, unnest({v.tokens('content')}) AS token FROM items) GROUP BY ALL),
 matched AS (SELECT q.query_id, i.item_id, i.updated_at, q.token, i.tf FROM terms q JOIN postings i ON q.token = i.token AND {v.IN_SCOPE})"""
 _FTS = _TERMS + f""",
-fts AS (SELECT query_id, item_id, round(0.1 * sum(least(tf, 256)), 9)::DOUBLE AS score, any_value(updated_at) AS updated_at FROM matched GROUP BY 1, 2),
+fts AS (SELECT query_id, item_id, round(0.1 * sum(tf), 9)::DOUBLE AS score, any_value(updated_at) AS updated_at FROM matched GROUP BY 1, 2),
 fts_top AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, item_id) AS rank FROM fts QUALIFY rank <= {K})"""
 
 

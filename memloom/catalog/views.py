@@ -223,7 +223,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("message"),
     ))
     done = F.to_json(F.struct(
-        F.lit("result").alias("type"), (n % 7 == 0).alias("is_error"), F.left("text", F.lit(30)).alias("result"),
+        F.lit("result").alias("type"), (n % 7 == 0).alias("is_error"), F.col("text").alias("result"),
         (n % 50 / 100).alias("total_cost_usd"),
         F.when(n % 4 != 0, F.struct(F.floor(F.length("text") / 4).alias("input_tokens"), F.length("text").alias("output_tokens"))).alias("usage"),
     ))

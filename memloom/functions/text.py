@@ -24,7 +24,6 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 )
 
-MAX_QUERY_TERMS = 24
 
 
 @lru_cache(maxsize=1)
@@ -91,8 +90,9 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def query_terms(tokens: Column, limit: int = MAX_QUERY_TERMS) -> Column:
-    return F.slice(tokens, 1, limit)
+def query_terms(tokens: Column, limit: int | None = None) -> Column:
+    """All tokens of a query, or its first `limit`."""
+    return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
 def flatten_space(c: Column) -> Column:

@@ -14,7 +14,6 @@ COST_CEILING_USD = 5.0
 TRANSCRIPT_CHARS = 60_000
 OMITTED_MARK = "[older turns not shown]\n\n"
 _CHUNK_TURNS = 256
-_PART_TURNS = 4096
 
 
 def speaker_block(role, text):
@@ -71,13 +70,10 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame, usage: Da
 
 
 def render_transcript(messages: DataFrame) -> DataFrame:
-    """Speaker blocks in turn order, a blank line between: one text per conversation and 4096 turns."""
-    lines = messages.select(
-        "conversation_id", F.floor(F.col("turn") / _PART_TURNS).alias("part"),
-        F.struct("turn", speaker_block(F.col("role"), F.col("text")).alias("t")).alias("m"),
-    )
+    """Speaker blocks in turn order, a blank line between: one text per conversation, however long."""
+    lines = messages.select("conversation_id", F.struct("turn", speaker_block(F.col("role"), F.col("text")).alias("t")).alias("m"))
     listed = F.array_sort(F.collect_list("m"))
-    return lines.groupBy("conversation_id", "part").agg(
+    return lines.groupBy("conversation_id").agg(
         F.array_join(F.transform(listed, lambda m: m["t"]), "\n\n").alias("transcript")
     )
 

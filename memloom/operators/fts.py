@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.functions.text import MAX_QUERY_TERMS, query_terms, tokenize
+from memloom.functions.text import query_terms, tokenize
 from memloom.operators.embed import token_counts
 from memloom.operators.items import live_filter, scope_join, type_allowed
 from memloom.operators.knn import topk_per_query
 from memloom.schemas import SCOPE
 
-# Weight of one match and the most positions counted per term.
+# Fixed value: weight of one match.
 MATCH_WEIGHT = 0.1
-MAX_POSITIONS = 256
 
 _META = ["type", "superseded_by", "updated_at"]
 
@@ -27,9 +26,9 @@ def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return token_counts(items.select(*keys, "content"), "content", keys, wanted)
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
-    """One row per distinct query term of the first 24 tokens."""
-    terms = F.array_distinct(query_terms(tokenize(F.col("query")), MAX_QUERY_TERMS))
+def terms_of(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per distinct term of each query (of its first `limit` tokens, where one is given)."""
+    terms = F.array_distinct(query_terms(tokenize(F.col("query")), limit))
     keep = ["query_id", *SCOPE] + [c for c in ("types",) if c in queries.columns]
     return queries.select(*keep, F.explode(terms).alias("token"))
 
@@ -43,17 +42,23 @@ def match_terms(queries: DataFrame, index: DataFrame, include_superseded: bool =
     return matched
 
 
-def fts_scores(queries: DataFrame, index: DataFrame, rank: str = "cover_density", include_superseded: bool = False) -> DataFrame:
-    """Score per (query, item). rank: cover_density, coverage (terms matched) or idf."""
+def fts_scores(
+    queries: DataFrame, index: DataFrame, rank: str = "cover_density", include_superseded: bool = False, max_positions: int | None = None
+) -> DataFrame:
+    """Score per (query, item). rank: cover_density, coverage (terms matched) or idf.
+
+    Every place of a term counts unless max_positions bounds them per term.
+    """
     matched = match_terms(queries, index, include_superseded)
-    positions = F.least(F.col("tf"), F.lit(MAX_POSITIONS))
+    positions = F.col("tf") if max_positions is None else F.least(F.col("tf"), F.lit(max_positions))
     if rank == "cover_density":
         score = F.sum(positions) * MATCH_WEIGHT
     elif rank == "coverage":
         score = F.count("*").cast("double")
     elif rank == "idf":
-        by = Window.partitionBy("query_id", "token")
-        matched = matched.withColumn("df", F.count("*").over(by))
+        # Counted by a combined aggregate: a frequent word's postings need not meet in one task.
+        df = matched.groupBy("query_id", "token").agg(F.count("*").alias("df"))
+        matched = matched.join(df, ["query_id", "token"])
         score = F.round(F.sum(1.0 / F.log2(F.col("df") + 1.0)), 9)
     else:
         raise ValueError(f"unknown rank {rank}")

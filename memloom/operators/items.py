@@ -9,8 +9,6 @@ from memloom.functions import render
 from memloom.functions.scope import scope_key
 from memloom.schemas import MEMORY_TYPES, SCOPE
 
-LIST_LIMIT_MAX = 500
-
 
 def scope_join(requests: DataFrame, rows: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows visible to each request; a null project sees all of the user's projects.
@@ -96,8 +94,9 @@ def list_items(
     kept = type_filter(live_filter(items, include_superseded), types)
     if contains:
         kept = contains_filter(kept, contains)
-    limit = min(limit, LIST_LIMIT_MAX)
-    slim = kept.select(*SCOPE, "item_id", "updated_at")
+    # No page reaches deeper into a scope than its end, so each scope keeps only its newest rows before it is joined.
+    scope = Window.partitionBy(*SCOPE).orderBy(F.desc("updated_at"), "item_id")
+    slim = kept.select(*SCOPE, "item_id", "updated_at").withColumn("_n", F.row_number().over(scope)).where(F.col("_n") <= limit + offset).drop("_n")
     order = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "item_id")
     page = (
         scope_join(requests.select("query_id", *SCOPE), slim)

@@ -14,7 +14,6 @@ from memloom.operators.items import scope_join
 from memloom.schemas import BRANCH_WEIGHTS, SCOPE
 from memloom.session import cut_lineage
 
-LIMIT_MAX = 50
 OVERFETCH = 4
 
 
@@ -30,9 +29,6 @@ class SearchConfig:
     header: str = pack.HEADER
     block_rows: int = knn.BLOCK_ROWS
 
-    def capped_limit(self) -> int:
-        return min(self.limit, LIMIT_MAX)
-
 
 @dataclass(frozen=True)
 class Store:
@@ -54,7 +50,7 @@ def run_branches(
     queries: DataFrame, store: Store, config: SearchConfig, embedder: Embedder | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Long-form hits of the three branches and their status rows."""
-    k = config.capped_limit() * OVERFETCH
+    k = config.limit * OVERFETCH
     vector = knn.knn_join(
         embed_queries(queries, embedder), store.items, k, config.include_superseded, config.block_rows
     )
@@ -100,7 +96,7 @@ def ranked_results(
     # Fusion, report and totals all read the hits: a few rows per query, written once.
     hits = cut_lineage(hits)
     fused = fusion.rrf_fuse(hits, config.weights)
-    limit = config.capped_limit()
+    limit = config.limit
     candidates = fused_candidates(asked, store, fused, limit * 2)
     chosen = reranker or (rerank.heuristic_rerank(now) if config.rerank else rerank.noop_rerank)
     ordered = chosen(candidates)

@@ -18,7 +18,6 @@ from memloom.schemas import MEMORY_TYPES, SCOPE
 MIN_CONFIDENCE = 0.6
 DEFAULT_CONFIDENCE = 0.7
 MIN_FACT_CHARS = 8
-MAX_FACT_ENTITIES = 12
 
 Extractor = Callable[[str], str]
 
@@ -48,7 +47,7 @@ def extract_json_object(text: Column) -> Column:
     return run(text)
 
 
-def parse_facts(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
+def parse_facts(raw: DataFrame, column: str = "raw", most_entities: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, errors): each usable fact of the extractor's answers, and answers that are not JSON.
 
     A bad entry costs one fact, not the answer it came in.
@@ -82,7 +81,7 @@ def parse_facts(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFra
     )
     shaped = facts.withColumns({
         "type": F.col("_f.type"), "content": js_trim(F.coalesce("_f.content", F.lit(""))),
-        "confidence": confidence, "entities": F.slice(named, 1, MAX_FACT_ENTITIES),
+        "confidence": confidence, "entities": named if most_entities is None else F.slice(named, 1, most_entities),
     })
     good = F.col("type").isin(MEMORY_TYPES) & (F.length("content") >= MIN_FACT_CHARS)
     return shaped.where(good).drop("_json", "_raw", "_f"), errors

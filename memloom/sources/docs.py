@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 from memloom.functions.render import argues, js_trim, promote_decision, slug, strip_trailers
 
 # Limits of a repository scan.
-MAX_FILE_BYTES = 256 * 1024
 MIN_CHARS = 120
 MAX_ITEMS = 500
-MAX_COMMITS = 200
-MAX_ENTITIES = 10
 
 # Directories that hold generated or vendored files.
 SKIP_DIRS = [
@@ -42,31 +39,38 @@ _DOCS_CONFIDENCE = 0.9
 _COMMIT_CONFIDENCE = 0.85
 
 
-def keep_doc_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def keep_doc_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """files(path relative to the root, length, ...): authored markdown only."""
     parts = F.split("path", "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
     skipped = F.exists(dirs, lambda d: F.lower(d).isin(SKIP_DIRS))
     hidden = F.exists(parts, lambda d: d.startswith(".") & ~F.lower(d).isin(DOT_DIRS))
     markdown = F.lower(F.col("path")).rlike(r"\.mdx?$")
-    return files.where(markdown & ~skipped & ~hidden & (F.col("length") <= max_bytes))
+    kept = files.where(markdown & ~skipped & ~hidden)
+    return kept if max_bytes is None else kept.where(F.col("length") <= max_bytes)
 
 
-def _dot_paths(spark: SparkSession, root: str, depth: int) -> list[str]:
+def _dot_paths(spark: SparkSession, root: str, depth: int | None) -> list[str]:
     """The wanted dot-directories below root: Spark's own listing leaves out every hidden name."""
     fs_api = spark._jvm.org.apache.hadoop.fs
-    found = []
-    for level in range(depth):
-        pattern = fs_api.Path("/".join([root.rstrip("/"), *["*"] * level, "{" + ",".join(DOT_DIRS) + "}"]))
-        matched = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        found += [status.getPath().toString() for status in matched or []]
+
+    def listed(*parts: str) -> list:
+        path = fs_api.Path("/".join([root.rstrip("/"), *parts]))
+        return [s for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [] if s.isDirectory()]
+
+    found, level = [], 0
+    while depth is None or level < depth:
+        found += [s.getPath().toString() for s in listed(*["*"] * level, "{" + ",".join(DOT_DIRS) + "}")]
+        level += 1
+        if not listed(*["*"] * level):
+            break
     return found
 
 
-def read_docs(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, dot_depth: int = 4) -> DataFrame:
+def read_docs(spark: SparkSession, root: str, max_bytes: int | None = None, dot_depth: int | None = None) -> DataFrame:
     """(path, content, length) of the markdown files below root; size and path are checked before content is decoded.
 
-    Dot-directories are looked for down to dot_depth levels.
+    Dot-directories are looked for at every level, or down to dot_depth levels.
     """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -140,7 +144,7 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def entities_of(body: Column, path: Column, breadcrumb: Column) -> Column:
+def entities_of(body: Column, path: Column, breadcrumb: Column, most: int | None = None) -> Column:
     """array<struct<name, kind>>: backticked identifiers, the file's name, the last heading."""
     ticked = F.regexp_extract_all(body, F.lit(r"`([A-Za-z][A-Za-z0-9_./-]{2,40})(?:\(\))?`"), F.lit(1))
     names = F.array_distinct(F.filter(ticked, lambda n: F.size(F.split(n, "/")) <= 2))
@@ -153,7 +157,8 @@ def entities_of(body: Column, path: Column, breadcrumb: Column) -> Column:
     kind_of = lambda n: F.when(has_leaf & (n == leaf), "topic").when(has_stem & (n == stem), "document").otherwise("identifier")
     extra = F.array_compact(F.array(F.when(has_stem, stem), F.when(has_leaf, leaf)))
     every = F.array_distinct(F.concat(names, extra))
-    return F.slice(F.transform(every, lambda n: entity(n, kind_of(n))), 1, MAX_ENTITIES)
+    named = F.transform(every, lambda n: entity(n, kind_of(n)))
+    return named if most is None else F.slice(named, 1, most)
 
 
 def docs_to_items(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -177,7 +182,7 @@ def docs_to_items(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 RECORD, FIELD = "\x1e", "\x1f"
 
 
-def read_commits(spark: SparkSession, path: str, since: str | None = None, max_commits: int | None = MAX_COMMITS) -> DataFrame:
+def read_commits(spark: SparkSession, path: str, since: str | None = None, max_commits: int | None = None) -> DataFrame:
     """(sha, subject, body, date) of exported logs, newest first when capped."""
     fields = F.split(js_trim(F.col("value")), FIELD)
     at = lambda i: F.try_element_at(fields, F.lit(i))
