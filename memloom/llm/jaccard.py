@@ -2,8 +2,8 @@
 
 Tokens are ordered by how many n-grams share their hashed count, then by hash, so common passages come
 last. Two sets that are alike enough share a token among their first ones. Equal sets are one. First,
-the sets that share one of their very first tokens meet in blocks, where a trie finds their classes; a
-block that is too large is dealt into several. What this may miss is then completed exactly: tokens
+sets meet in the blocks of their first and of their most common shared token, where a trie finds their
+classes; a block that is too large is dealt into several. What this may miss is then completed exactly: tokens
 shared across classes give candidate pairs, bounds on size, place and shared prefix thin them, and a
 trie of a set's partners decides. Pairs inside one class are never listed, so a group of copies costs
 what its members cost.
@@ -25,8 +25,8 @@ from memloom.llm.flat import NON_SPACE, flatten, mix, pieces, span_hash, word_bo
 from memloom.session import cut_lineage
 
 COUNT_BITS = 18
-FIRST_TOKENS = 2
 BLOCK = 512
+HASHED_PICKS = 2
 
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +194,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     shared = cut_lineage(shared.where("_low < _high").drop("_low", "_high"), "jaccard-shared")
 
     chunk = F.pmod(F.xxhash64("token", "id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    blocks = shared.where(F.col("pos") < FIRST_TOKENS).select("token", "id", chunk.alias("chunk")).distinct()
-    texts = bitmap.only(docs.select(F.col("doc_id").alias("id"), "text"), "id", shared.where(F.col("pos") < FIRST_TOKENS).select("id").distinct())
+    # Of its shared tokens a set takes its first, its most common one, and those least under some hashes: pairs of
+    # copies meet by the first, large groups by the others, in which like sets agree more often than not.
+    place = F.struct("token", chunk.alias("chunk"))
+    orders = [F.col("pos"), -F.col("n"), *[F.xxhash64(F.lit(salt), "token") for salt in range(HASHED_PICKS)]]
+    taken = shared.groupBy("id").agg(F.array_distinct(F.array(*[F.min_by(place, F.struct(o, "token")) for o in orders])).alias("places"))
+    blocks = taken.select("id", F.inline("places"))
+    texts = bitmap.only(docs.select(F.col("doc_id").alias("id"), "text"), "id", taken.select("id"))
     within = cut_lineage(_block_edges(blocks, texts, n, part, whole, ranks), "jaccard-blocks")
     known = components(copies.unionByName(within), "jaccard-classes")
 
@@ -203,14 +208,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     classed = shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "n")
     mixed = classed.withColumns({"_low": F.min("class").over(of_token), "_high": F.max("class").over(of_token)}).where("_low < _high").drop("_low", "_high")
     mixed = cut_lineage(mixed, "jaccard-mixed")
-    side = lambda s: mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "m", "pos", "class")])
+    # Only tokens that other classes have too can be common to sets of two classes: seen counts those before a token.
+    mixed = mixed.withColumn("seen", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1)
+    side = lambda s: mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "m", "pos", "class", "seen")])
     a, b = side("a"), side("b")
     need = F.ceil((F.col("m_a") + F.col("m_b")) * part / (part + whole))
     pairs = a.join(b, "token").where(
         (F.col("class_a") != F.col("class_b")) & (F.struct("m_a", "id_a") < F.struct(F.col("m_b").alias("m_a"), F.col("id_b").alias("id_a")))
         & (F.col("m_a") * whole >= F.col("m_b") * part)
-        # Before a common token lie at most as many common ones as the shorter beginning has.
-        & (F.least("pos_a", "pos_b") + F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) >= need))
+        & (F.least("seen_a", "seen_b") + F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) >= need))
     rest = lambda s: F.ceil(F.col(f"m_{s}") * part / whole) - 1  # tokens behind the prefix
     counted = pairs.groupBy("id_a", "id_b", "m_a", "m_b").agg(
         F.count("*").alias("k"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).where(
