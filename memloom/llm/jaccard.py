@@ -66,9 +66,15 @@ def token_counts(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def rank_of_buckets(counts: np.ndarray) -> np.ndarray:
-    """0 for the usual bucket, then one more for each half doubling of its count beyond the mean."""
-    mean = max(counts.mean(), 1e-9)
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.uint64)
+    """0 for the usual bucket, else one more for each half doubling of what it holds beyond chance.
+
+    Chance is the median and twice the spread about it, so an n-gram that a few dozen documents share shows
+    in a table of a hundred thousand, and one of a millionth of all documents in any.
+    """
+    middle = np.median(counts)
+    spread = max(np.sqrt(max(middle, 1.0)), 1.4826 * np.median(np.abs(counts - middle)))
+    beyond = np.maximum(counts - middle - 2 * spread, 0)
+    return np.clip(np.where(beyond > 0, 1 + np.floor(2 * np.log2(1 + beyond)), 0), 0, 63).astype(np.uint64)
 
 
 def ordered_sets(texts: pa.Array, n: int, ranks: np.ndarray) -> list[np.ndarray]:
