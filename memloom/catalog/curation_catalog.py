@@ -601,10 +601,10 @@ def stream_translate_stateful(spark, d):
 
 @query("stream_writeback")
 def stream_writeback(spark, d):
-    from memloom.streaming.writeback import current_items
+    from memloom.streaming.writeback import current
     from memloom.streaming.writeback import stream_writeback as run
 
     root, jobs, mark = (scratch_path(spark, label) for label in ("root", "queue", "mark"))
     tables.enqueue_transcripts(tables.transcript_payload(v.messages(spark, d)), v.now()).write.parquet(jobs)
     run(spark, jobs, root, mark, now=v.now()).awaitTermination()
-    return current_items(spark, f"{root}/items").select("item_id", "type", "source", "confidence", "superseded_by")
+    return current(spark, root).select("item_id", "type", "source", "confidence", "superseded_by")

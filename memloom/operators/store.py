@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +69,10 @@ def delete_items(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
     dead = ids.withColumn("_dead", F.lit(True))
 
     def nulled(df: DataFrame, column: str) -> DataFrame:
-        marked = df.join(dead.withColumnRenamed("item_id", column), column, "left")
-        return marked.withColumn(column, F.when(F.col("_dead").isNull(), F.col(column))).select(*df.columns)
+        # Most rows point nowhere: they stay out of the join, where they would all share the null key.
+        marked = df.where(F.col(column).isNotNull()).join(dead.withColumnRenamed("item_id", column), column, "left")
+        told = marked.withColumn(column, F.when(F.col("_dead").isNull(), F.col(column))).select(*df.columns)
+        return df.where(F.col(column).isNull()).unionByName(told)
 
     out = dict(tables)
     out["items"] = nulled(tables["items"].join(ids, "item_id", "left_anti"), "superseded_by")
@@ -133,16 +133,30 @@ def supersede_chain(items: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: str = "tenant") -> str:
-    """Write a complete new version, then move the pointer: readers see the old or the new one."""
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy(partition_by).parquet(f"{root}/{version}")
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{root}/_current")
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Complete versions below root in order: those whose writer left its success mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().getParent().getName() for s in found or [])
+
+
+def write_snapshot(df: DataFrame, root: str, number: int | None = None, partition_by: str | None = "tenant") -> str:
+    """Write a new version, by default the next number; the newest complete version is the table.
+
+    Nothing is moved or deleted, so a reader sees the old or the new one whatever fails in between, and
+    writing the same number again replaces only itself.
+    """
+    spark = df.sparkSession
+    if number is None:
+        number = int(([f"v-{-1:012d}", *_versions(spark, root)][-1]).removeprefix("v-")) + 1
+    version = f"v-{number:012d}"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/{version}")
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str, schema=None) -> DataFrame:
-    version = spark.read.text(f"{root}/_current").first()["value"]
+def read_snapshot(spark: SparkSession, root: str, schema=None, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (older than number `before`, where one is given), or None before the first."""
+    versions = [v for v in _versions(spark, root) if before is None or int(v.removeprefix("v-")) < before]
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{root}/{version}")
+    return reader.parquet(f"{root}/{versions[-1]}") if versions else None

@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from memloom.operators.items import confidence_floor
 from memloom.operators.conversations import recent_tail
-from memloom.operators.reconcile import ReconcileConfig, reconcile
+from memloom.operators.reconcile import ReconcileConfig
 from memloom.operators.store import read_snapshot, write_snapshot
 from memloom.plans import writeback as wb
+from memloom.plans.ingest import write_items
 from memloom.schemas import ITEM, SCOPE
 from memloom.session import cut_lineage
 from memloom.sources.tables import read_turns
@@ -25,18 +26,23 @@ JOB = (
 )
 
 
-def current_items(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot, or an empty store before the first one."""
-    try:
-        return read_snapshot(spark, root, ITEM)
-    except Exception as error:  # no snapshot has been written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], ITEM)
+#: The tables that a write extends, with their schemas and partition columns.
+TABLES = {
+    "items": (ITEM, "tenant"),
+    "entities": ("tenant string, user_id string, project string, entity_id string, name_norm string, name string, kind string", "tenant"),
+    "links": ("item_id string, entity_id string", None),
+    "relations": ("rel_id string, from_entity string, to_entity string, type string, weight double, evidence_item string", None),
+}
 
 
-def drain(jobs: DataFrame, items: DataFrame, now: Column, extractor: wb.Extractor, config: ReconcileConfig, floor: float):
-    """(outcomes, items, finished jobs): extraction, floor and reconciliation of a batch of jobs."""
+def current(spark: SparkSession, root: str, name: str = "items", before: int | None = None) -> DataFrame:
+    """The newest complete snapshot of a table, or an empty one before the first."""
+    held = read_snapshot(spark, f"{root}/{name}", TABLES[name][0], before)
+    return spark.createDataFrame([], TABLES[name][0]) if held is None else held
+
+
+def drain(jobs: DataFrame, tables: dict[str, DataFrame], now: Column, extractor: wb.Extractor, config: ReconcileConfig, floor: float):
+    """(outcomes, tables, finished jobs): extraction, floor and the whole write path of a batch of jobs."""
     scoped = jobs.select("job_id", "conversation_id", *SCOPE, "created_at")
     said = read_turns(jobs.withColumn("conversation_id", F.col("job_id"))).select(
         "conversation_id", "turn", "role", F.col("content").alias("text"))
@@ -48,7 +54,7 @@ def drain(jobs: DataFrame, items: DataFrame, now: Column, extractor: wb.Extracto
         F.monotonically_increasing_id().alias("seq"), "job_id", *SCOPE, "type", "content",
         F.concat(F.lit("conversation:"), "conversation_id").alias("source"), "confidence", "conversation_id", "entities",
     ))
-    outcomes, merged = reconcile(writes.drop("job_id", "entities"), items, now, config)
+    outcomes, merged = write_items(writes.drop("job_id"), tables, now, config)
     told = outcomes.select("seq", "item_id", "outcome", "reason").join(writes.select("seq", "job_id"), "seq")
     failed = errors.select("job_id", F.col("error").alias("new_error"))
     done = jobs.join(failed, "job_id", "left").withColumns({
@@ -67,29 +73,26 @@ def stream_writeback(
     """Drain pending jobs into the item snapshots below root; the checkpoint replaces row locks.
 
     A job whose answer cannot be read is appended to the queue again, and after the last try to
-    root/jobs with status failed. A replayed micro-batch finds its own mark and is skipped.
+    root/jobs with status failed. All that a micro-batch writes lies in folders that carry its number and
+    replaces only itself, and it starts from the snapshots before that number: a batch that is played again
+    after a crash, wherever it stopped, leaves the same files.
     """
     at = F.current_timestamp() if now is None else now
-    pending = spark.readStream.schema(JOB).option("maxFilesPerTrigger", DRAIN).parquet(jobs_path)
+    pending = spark.readStream.schema(JOB).option("recursiveFileLookup", True).option("maxFilesPerTrigger", DRAIN).parquet(jobs_path)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        mark = f"{root}/done/batch={batch_id}"
-        try:
-            session.read.text(mark).isEmpty()
-            return
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         jobs = cut_lineage(batch.where(F.col("status") == "pending"))
-        told, merged, done = drain(jobs, current_items(session, f"{root}/items"), at, extractor, config, floor)
+        tables = {name: current(session, root, name, batch_id) for name in TABLES}
+        told, merged, done = drain(jobs, tables, at, extractor, config, floor)
         done = cut_lineage(done)
-        told.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{root}/outcomes")
-        write_snapshot(merged, f"{root}/items")
-        done.where(F.col("status") != "pending").write.mode("append").parquet(f"{root}/jobs")
+        told.write.mode("overwrite").parquet(f"{root}/outcomes/batch={batch_id}")
+        for name, (_, by) in TABLES.items():
+            columns = tables[name].columns
+            write_snapshot(merged[name].select(*columns), f"{root}/{name}", batch_id, by)
+        done.where(F.col("status") != "pending").write.mode("overwrite").parquet(f"{root}/jobs/batch={batch_id}")
         again = done.where(F.col("status") == "pending")
         if not again.isEmpty():
-            again.write.mode("append").parquet(jobs_path)
-        session.range(1).select(F.lit("done").alias("value")).coalesce(1).write.mode("overwrite").text(mark)
+            again.write.mode("overwrite").parquet(f"{jobs_path}/again-{batch_id}")
 
     return pending.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """The streams must say what the batch plans say."""
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from memloom.plans.writeback import sentence_extractor
 from memloom.session import scratch_path
 from memloom.sources import tables
 from memloom.streaming.translate import translate_stream
-from memloom.streaming.writeback import current_items, stream_writeback
+from memloom.streaming.writeback import current, stream_writeback
 
 KEEP = ["conversation_id", "turn", "seq", "idx", "type", "text", "tool_id", "name", "ok", "summary", "code", "message",
         "retryable", "session_id", "input_tokens", "output_tokens", "stop_reason"]
@@ -36,7 +37,12 @@ def test_translate_stream_equals_batch(spark, sf_dir):
 
 def test_writeback_stream(spark):
     def poisoned(transcript):
-        return "no json at all" if "poison" in transcript else sentence_extractor(transcript)
+        if "poison" in transcript:
+            return "no json at all"
+        facts = json.loads(sentence_extractor(transcript))["facts"]
+        for fact in facts:
+            fact["entities"] = [{"name": n, "kind": "concept"} for n in ("tea", "Parquet") if n in fact["content"]]
+        return json.dumps({"facts": facts})
 
     now = F.lit(datetime(2024, 5, 1)).cast("timestamp")
     rows = [("c1", 0, "user", "I prefer tea over coffee in the morning. We chose Parquet because it is columnar.", "t", "u", "p"),
@@ -49,7 +55,9 @@ def test_writeback_stream(spark):
     mark = scratch_path(spark, "mark")
     for _ in range(3):
         stream_writeback(spark, jobs, root, mark, poisoned, now).awaitTermination(240)
-    items = current_items(spark, f"{root}/items").collect()
+    items = current(spark, root).collect()
+    named = {r["name_norm"] for r in current(spark, root, "entities").collect()}
+    assert named == {"parquet", "tea"} and current(spark, root, "links").count() == 2
     assert sorted(i["type"] for i in items) == ["decision", "preference"]
     assert {i["source"] for i in items if i["type"] == "decision"} == {"conversation:c1"}
     done = {r["conversation_id"]: (r["status"], r["attempts"]) for r in spark.read.parquet(f"{root}/jobs").collect()}
