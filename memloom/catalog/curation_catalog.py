@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.catalog import views as v
-from memloom.catalog.functions_catalog import doc_files, stamp
+from memloom.catalog.functions_catalog import _DEC, doc_files, stamp
 from memloom.catalog.registry import query
 from memloom.catalog.retrieval_catalog import _BRANCHES, _hits, store
 from memloom.functions.ids import hash_of_content
@@ -373,7 +373,21 @@ def stream_result_event(spark, d):
     return out.select("conversation_id", "turn", "type", F.coalesce("message", "text").alias("said"), "session_id")
 
 
-@query("stream_translate")
+_NULLS = lambda names: ", ".join(f"CAST(NULL AS {'BOOLEAN' if n == 'ok' else 'VARCHAR'}) AS {n}" for n in names.split())
+_EVENTS = f"""WITH {_TURN}, {_DELTA}, named AS (SELECT *, 't' || n AS tool_id, CASE WHEN n % 2 = 0 THEN 'mcp__memory__memory_search' ELSE 'Read' END AS name FROM shape)
+SELECT conversation_id, turn, 0 AS seq, 0 AS idx, 'error' AS type, {_NULLS('text tool_id name ok summary')}, 'upstream_failed' AS code,
+ CASE WHEN n % 3 = 0 THEN 'MCP server memory is not connected (status: failed{events.LOST}' ELSE '{events.MUTE}memory' END AS message FROM shape WHERE n % 3 = 0 OR n % 5 = 0
+UNION ALL SELECT conversation_id, turn, 1 + noise, 0, 'tool.start', NULL, tool_id, name, NULL, NULL, NULL, NULL FROM named
+UNION ALL SELECT conversation_id, turn, 2 + noise, 0, 'tool.result', NULL, tool_id, name, n % 9 <> 0,
+ CASE WHEN n % 9 = 0 OR n % 2 = 1 THEN left({_BODY}, 200) ELSE 'found ' || (n % 4) || ' memories' END, NULL, NULL FROM named
+UNION ALL SELECT conversation_id, turn, 2 + noise, 1, 'citation', NULL, tool_id, NULL, NULL, NULL, NULL, NULL FROM named WHERE n % 2 = 0 AND n % 9 <> 0
+UNION ALL SELECT conversation_id, turn, seq, 0, 'message.delta', text, NULL, NULL, NULL, NULL, NULL, NULL FROM delta
+UNION ALL SELECT conversation_id, turn, 4 + noise + pieces, 0, 'error', NULL, NULL, NULL, NULL, NULL, 'runner_failed', text FROM shape WHERE n % 7 = 0
+UNION ALL SELECT conversation_id, turn, 4 + noise + pieces, 0, 'message.delta', text, NULL, NULL, NULL, NULL, NULL, NULL FROM shape WHERE n % 7 <> 0 AND n % 4 = 0 AND length(text) > 0
+UNION ALL SELECT conversation_id, turn, 4 + noise + pieces, 1, 'message.done', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM shape WHERE n % 7 <> 0"""
+
+
+@query("stream_translate", _EVENTS)
 def stream_translate(spark, d):
     out = events.translate_lines(v.stream_lines(spark, d))
     return out.select("conversation_id", "turn", "seq", "idx", "type", "text", "tool_id", "name", "ok", "summary", "code", "message")
@@ -392,7 +406,9 @@ def stream_spend(spark, d):
     return spend_alerts(v.usage(spark, d), 1.0).select("conversation_id", T("seq").alias("alert_seq"), F.round("running", 6).alias("spent"))
 
 
-@query("usage_sessions")
+@query("usage_sessions", f"""WITH {v.USAGE}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY conversation_id ORDER BY ts, seq) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM usage),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY conversation_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session FROM f)
+SELECT conversation_id, {v.ts('min(ts)')} AS session_start, count(*) AS turns, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM g GROUP BY conversation_id, session""")
 def usage_sessions(spark, d):
     from memloom.streaming.spend import usage_sessions as run
 
@@ -416,16 +432,19 @@ m AS (SELECT query_id, latency_ms, n, CASE WHEN n = 0 THEN 1 ELSE h5::DOUBLE / n
 
 
 def _gold(spark, d):
-    """Documents that contain a benchmark passage, found by its rarest words first.
+    """Documents that contain a benchmark passage, found by its longest inner token.
 
-    A containing document shares the passage's opening token, so the join is on that token; the
-    containment itself is checked after it.
+    A passage may begin or end inside a word of the document, so its first and last token do not count; the
+    inner ones are whole words there too. The containment itself is checked after the join. A passage of
+    fewer than three tokens has no gold.
     """
     from memloom.functions.text import tokenize
 
     b = v.table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), T("text").alias("passage"))
     doc = v.flat_items(spark, d).select("item_id", "content")
-    probes = b.withColumn("token", F.element_at(F.array_sort(tokenize(T("passage")), lambda x, y: F.length(y) - F.length(x)), 1))
+    told = tokenize(T("passage"))
+    inner = F.slice(told, 2, F.greatest(F.size(told) - 2, F.lit(0)))
+    probes = b.withColumn("token", F.try_element_at(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), F.lit(1)))
     words = doc.select("item_id", F.explode(F.array_distinct(tokenize(T("content")))).alias("token"))
     near = words.join(F.broadcast(probes) if b.count() < 100_000 else probes, "token").join(doc, "item_id")
     return near.where(F.contains(T("content"), T("passage"))).select("query_id", "item_id")
@@ -502,15 +521,20 @@ def resolve_refs(spark, d):
 
 @query("eval_compare")
 def eval_compare(spark, d):
-    return plan_ingest.compare(v.queries(spark, d), store(spark, d), v.stored(spark, d, "gold", _gold), v.now())
+    # One scope for queries, store and gold; queries without gold have nothing to find and stay out.
+    gold = v.stored(spark, d, "gold", _gold)
+    asked = v.flat_queries(spark, d).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    rows = plan_ingest.compare(asked, v.flat_store(spark, d), gold, v.now())
+    return rows.select("config", "queries", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10")], "misses")
 
 
-@query("scan_golden")
+@query("scan_golden", "SELECT 'q' || item_id AS id, text AS query, 'c' || item_id AS first FROM benchmark")
 def scan_golden(spark, d):
     path = scratch_path(spark, "golden")
-    rows = v.table(spark, d, "benchmark").groupBy((T("item_id") % 4).alias("part")).agg(F.collect_list(F.struct(
+    rows = v.table(spark, d, "benchmark").groupBy(F.floor(T("item_id") / 64).alias("part")).agg(F.collect_list(F.struct(
         F.concat(F.lit("q"), "item_id").alias("id"), T("text").alias("query"), F.array(F.concat(F.lit("c"), "item_id")).alias("relevant"))).alias("queries"))
-    rows.select("queries").repartition(4).write.json(path)
+    # One file of at most 64 queries per part.
+    rows.write.partitionBy("part").json(path)
     return tables.read_golden(spark, path, "queries").select("id", "query", F.element_at("relevant", 1).alias("first"))
 
 
@@ -538,15 +562,21 @@ def _commits(spark, d):
     return path
 
 
-@query("scan_commit_log")
+_LOG = """log AS (SELECT sha256(doc_id::VARCHAR) AS sha, left(text, 40) AS subject, text || chr(10) || 'Reviewed-by: A <a@b>' || chr(10) AS body,
+ strftime(TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS date, doc_id FROM documents WHERE text <> '')"""
+_TOLD = _LOG + """, told AS (SELECT sha, subject, regexp_replace(regexp_replace(body, '(?im)^(Co-Authored-By|Signed-off-by|Claude-Session|Reviewed-by):.*$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS m FROM log)"""
+
+
+@query("scan_commit_log", f"WITH {_LOG} SELECT sha, date, length(body) AS n FROM log WHERE doc_id >= 24")
 def scan_commit_log(spark, d):
-    return docs.read_commits(spark, _commits(spark, d), since="2024-01-02", max_commits=None).select("sha", "date", F.length("body").alias("n"))
+    return docs.read_commits(spark, _commits(spark, d), since="2024-01-02", max_commits=None).select("sha", "date", F.length("body").cast("long").alias("n"))
 
 
-@query("commits_to_items")
+@query("commits_to_items", f"""WITH {_TOLD} SELECT CASE WHEN regexp_matches(m, '{_DEC}', 'i') THEN 'decision' ELSE 'note' END AS type, 'git:' || left(sha, 12) AS source,
+ length(subject) + 2 + length(m) AS n FROM told WHERE length(m) >= 120""")
 def commits_to_items(spark, d):
     commits = docs.read_commits(spark, _commits(spark, d), max_commits=None)
-    return docs.commits_to_items(commits).select("type", "source", F.length("content").alias("n"))
+    return docs.commits_to_items(commits).select("type", "source", F.length("content").cast("long").alias("n"))
 
 
 @query("union_docs_commits")
@@ -568,7 +598,7 @@ def ingest_preview(spark, d):
     return docs.ingest_preview(docs.docs_to_items(doc_files(spark, d)))[1]
 
 
-@query("extract_json_object")
+@query("extract_json_object", "SELECT event_id, props AS json FROM events")
 def extract_json_object(spark, d):
     noisy = F.concat(F.lit("Sure: "), T("props"), F.lit(" {\"x\": \"}\"} done"))
     return v.table(spark, d, "events").select("event_id", wb.extract_json_object(noisy).alias("json"))
@@ -587,7 +617,7 @@ def transcript_to_candidates(spark, d):
 
 # --- streams, driven to the end over what is there ------------------------------------------------
 
-@query("stream_translate_stateful")
+@query("stream_translate_stateful", _EVENTS)
 def stream_translate_stateful(spark, d):
     from memloom.streaming.translate import translate_stream
 

@@ -177,6 +177,18 @@ def edge_weight(spark, d):
     return graph.edge_weight(pairs).select(T("from_entity").cast("long").alias("from_entity"), "to_entity", "weight", "evidence_item")
 
 
+@query("merge_edges", """WITH c AS (SELECT o_custkey AS from_entity, o_orderpriority AS to_entity, count(*) FILTER (o_orderdate < DATE '1995-01-01') AS held,
+ count(*) FILTER (o_orderdate >= DATE '1995-01-01') AS seen FROM orders GROUP BY 1, 2),
+w AS (SELECT *, least(1.0 + 0.25 * (held - 1), 5.0) AS base FROM c)
+SELECT from_entity::VARCHAR AS from_entity, to_entity, CASE WHEN held = 0 THEN least(1.0 + 0.25 * (seen - 1), 5.0) ELSE least(base + 0.25 * seen, greatest(5.0, base)) END::DOUBLE AS weight FROM w""")
+def merge_edges(spark, d):
+    """Edges of older orders as the store, those of newer ones as a batch that extends it."""
+    o = v.table(spark, d, "orders").select(T("o_custkey").cast("string").alias("from_entity"), T("o_orderpriority").alias("to_entity"), T("o_orderkey").cast("string").alias("item_id"),
+                                           T("o_orderkey").alias("seq"), (T("o_orderdate") < F.lit("1995-01-01").cast("date")).alias("old"))
+    stored, batch = graph.edge_weight(o.where("old")), graph.edge_weight(o.where("NOT old"))
+    return graph.merge_edges(stored, batch).select("from_entity", "to_entity", "weight")
+
+
 @query("dedupe_edges", f"WITH {v.MENTIONS}, {v.RELATIONS} SELECT rel_id, weight FROM relations")
 def dedupe_edges(spark, d):
     r = v.relations(spark, d)

@@ -114,12 +114,12 @@ def flat_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, held=items) -> DataFrame:
     """Items whose entities are the capitalised words of six letters or more anywhere in their text."""
     kept = F.transform(F.filter(F.split("content", "[^A-Za-z]+"), lambda w: w.rlike("^[A-Z][a-z]{5,}$")), F.lower)
     kind = lambda w: F.when(F.length(w) % 3 == 0, "component").otherwise("concept")
     listed = F.transform(kept, lambda w: F.struct(w.alias("name"), kind(w).alias("kind")))
-    return graph.named_entities(items(spark, sf_dir).select(*SCOPE, "item_id", "seq", listed.alias("entities")))
+    return graph.named_entities(held(spark, sf_dir).select(*SCOPE, "item_id", "seq", listed.alias("entities")))
 
 
 def entities(spark, sf_dir):
@@ -134,6 +134,16 @@ def relations(spark, sf_dir):
     return stored(spark, sf_dir, "relations", lambda s, d: graph.edge_weight(graph.cooccurrence_pairs(mentions(s, d))))
 
 
+def flat_store(spark: SparkSession, sf_dir: str):
+    """All documents in one scope, with their entities, links and relations."""
+    from memloom.plans.search import Store
+
+    told = lambda s, d: stored(s, d, "flat_mentions", lambda s, d: mentions(s, d, flat_items))
+    return Store(flat_embedded(spark, sf_dir), stored(spark, sf_dir, "flat_entities", lambda s, d: graph.entity_merge(told(s, d))),
+                 stored(spark, sf_dir, "flat_relations", lambda s, d: graph.edge_weight(graph.cooccurrence_pairs(told(s, d)))),
+                 stored(spark, sf_dir, "flat_links", lambda s, d: graph.item_links(told(s, d))))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv_"), "conv_id").alias("conversation_id"), "turn", "role", "text",
