@@ -25,8 +25,7 @@ from memloom.llm.flat import NON_SPACE, flatten, mix, pieces, span_hash, word_bo
 from memloom.session import cut_lineage
 
 COUNT_BITS = 18
-BLOCK = 512
-HASHED_PICKS = 2
+BLOCK = 2048
 
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +199,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     shared = cut_lineage(shared.where("_low < _high").drop("_low", "_high"), "jaccard-shared")
 
     chunk = F.pmod(F.xxhash64("token", "id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    # Of its shared tokens a set takes its first, its most common one, and those least under some hashes: pairs of
-    # copies meet by the first, large groups by the others, in which like sets agree more often than not.
+    # Of its shared tokens a set takes its first, its most common one, and the least under a hash: pairs of copies
+    # meet by the first, large groups by the second, and the third, in which like sets mostly agree, ties groups together.
     place = F.struct("token", chunk.alias("chunk"))
-    orders = [F.col("pos"), -F.col("n"), *[F.xxhash64(F.lit(salt), "token") for salt in range(HASHED_PICKS)]]
+    orders = [F.col("pos"), -F.col("n"), F.xxhash64("token")]
     taken = shared.groupBy("id").agg(F.array_distinct(F.array(*[F.min_by(place, F.struct(o, "token")) for o in orders])).alias("places"))
+    taken = cut_lineage(taken, "jaccard-places")
     blocks = taken.select("id", F.inline("places"))
     texts = bitmap.only(docs.select(F.col("doc_id").alias("id"), "text"), "id", taken.select("id"))
     within = cut_lineage(_block_edges(blocks, texts, n, part, whole, ranks), "jaccard-blocks")
@@ -215,12 +215,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     mixed = classed.withColumns({"_low": F.min("class").over(of_token), "_high": F.max("class").over(of_token)}).where("_low < _high").drop("_low", "_high")
     mixed = cut_lineage(mixed, "jaccard-mixed")
     # Only tokens that other classes have too can be common to sets of two classes: seen counts those before a token.
-    mixed = mixed.withColumn("seen", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1)
-    side = lambda s: mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "m", "pos", "class", "seen")])
+    mixed = mixed.withColumn("seen", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).join(taken, "id")
+    side = lambda s: mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "m", "pos", "class", "seen", "places")])
     a, b = side("a"), side("b")
     need = F.ceil((F.col("m_a") + F.col("m_b")) * part / (part + whole))
     pairs = a.join(b, "token").where(
-        (F.col("class_a") != F.col("class_b")) & (F.struct("m_a", "id_a") < F.struct(F.col("m_b").alias("m_a"), F.col("id_b").alias("id_a")))
+        # Sets of two classes that met in a block were compared there.
+        (F.col("class_a") != F.col("class_b")) & ~F.arrays_overlap("places_a", "places_b") & (F.struct("m_a", "id_a") < F.struct(F.col("m_b").alias("m_a"), F.col("id_b").alias("id_a")))
         & (F.col("m_a") * whole >= F.col("m_b") * part)
         & (F.least("seen_a", "seen_b") + F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) >= need))
     rest = lambda s: F.ceil(F.col(f"m_{s}") * part / whole) - 1  # tokens behind the prefix
