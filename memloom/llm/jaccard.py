@@ -2,8 +2,8 @@
 
 Tokens are ordered by how many n-grams share their hashed count, then by hash, so common passages come
 last. Two sets that are alike enough share a token among their first ones. Equal sets are one. First,
-sets meet in the blocks of their first and of their most common shared token, where a trie finds their
-classes; a block that is too large is dealt into several. What this may miss is then completed exactly: tokens
+sets meet in the blocks of three of their shared tokens, where a trie finds their classes; a block that
+is too large is dealt into several. What this may miss is then completed exactly: tokens
 shared across classes give candidate pairs, bounds on size, place and shared prefix thin them, and a
 trie of a set's partners decides. Pairs inside one class are never listed, so a group of copies costs
 what its members cost.
