@@ -56,7 +56,7 @@ def run_branches(
     )
     text = fts.fts_branch(queries, store.items, k, config.fts_rank, config.include_superseded, store.index)
     branches = {"vector": vector, "fts": text}
-    no_terms = F.when(F.size(tokenize(F.col("query"))) == 0, "only stop words asked")
+    no_terms = F.when(F.size(tokenize(F.col("query"))) == 0, "the query holds only stopwords")
     none = F.lit(None).cast("string")
     status = queries.select("query_id", F.lit("fts").alias("branch"), none.alias("unavailable_reason"), no_terms.alias("degraded_reason"))
     off = store.entities is None or config.graph_depth <= 0
