@@ -103,3 +103,26 @@ def test_windows_grow_with_a_group():
     x = rng.normal(size=8) + rng.normal(size=(700, 8)) * 0.001
     i, j = vectors.window_links(x, 0.98)
     assert len(i) == 700 * 699 // 2
+
+
+@pytest.mark.parametrize("partitions", [4, 200])
+def test_vector_windows_cross_partitions(spark, partitions):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1600, 16))
+    x[:1000] = x[0] + rng.normal(size=(1000, 16)) * 0.03  # five blocks a pass wide, and more than several of 200 partitions
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    cosine = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1))
+    near = (cosine >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert near[:1000].sum() > 900 * 999
+    want = brute.components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a > b])
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, value in conf.items():
+            spark.conf.set(k, value)
+        got = {r["vec_id"]: r for r in vectors.near_duplicates(df).collect()}
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert {k: r["n_links"] for k, r in got.items()} == dict(enumerate(near.sum(1).tolist()))
+    assert {k: r["component_id"] for k, r in got.items()} == want
