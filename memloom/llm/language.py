@@ -151,7 +151,11 @@ def _pair_marginals(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1, seed: int = 7) -> Crf:
-    """A model from whole texts with one language each; half of the training sequences switch between two texts."""
+    """A model from whole texts with one language each; half of the training sequences switch between two languages or texts.
+
+    A sequence draws its language first and then its text, each alike often, so every language with a word is
+    taught; texts that are shorter than the sequence are chained until it is full.
+    """
     model = Crf(sorted(set(labels)))
     k = len(model.languages)
     if not k:
@@ -168,11 +172,10 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
     share = table[often].max(1) / table[often].sum(1)
     model.words = distinct[often]
     model.entry = table[often].argmax(1) * 3 + np.digitize(share, [0.7, 0.95])
-    usable = np.flatnonzero(counts >= LENGTH)
     rng = np.random.default_rng(seed)
-    if len(usable) < 2:
-        usable = np.flatnonzero(counts > 0)
-    if not len(usable):
+    worded = [np.flatnonzero((lang == i) & (counts > 0)) for i in range(k)]
+    taught = [i for i in range(k) if len(worded[i])]
+    if not taught:
         return model
     first = np.cumsum(counts) - counts
     rows, truth = [], []
@@ -180,11 +183,13 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
         cut = int(rng.integers(4, LENGTH - 4)) if i % 2 else LENGTH
         row, gold = [], []
         for n in (cut, LENGTH - cut):
-            if n:
-                t = usable[rng.integers(len(usable))]
-                at = int(rng.integers(max(1, counts[t] - n + 1)))
-                row.append(first[t] + np.minimum(at + np.arange(n), counts[t] - 1))
-                gold.append(np.full(n, lang[t]))
+            spoken = taught[rng.integers(len(taught))]
+            gold.append(np.full(n, spoken))
+            while n:
+                t = worded[spoken][rng.integers(len(worded[spoken]))]
+                size = min(n, int(counts[t]))
+                row.append(first[t] + rng.integers(counts[t] - size + 1) + np.arange(size))
+                n -= size
         rows.append(np.concatenate(row))
         truth.append(np.concatenate(gold))
     rows, truth = np.stack(rows, 1), np.stack(truth, 1)  # (LENGTH, SEQUENCES)

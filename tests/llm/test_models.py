@@ -49,6 +49,19 @@ def test_words_of_switched_text_take_their_own_language():
     assert best[:half - 4].mean() < 0.2 and best[half + 4:].mean() > 0.8
 
 
+def test_languages_of_short_texts_are_learned_beside_long_ones(spark):
+    rng = np.random.default_rng(4)
+    ends = {"aa": "us", "bb": "eni", "cc": "olo"}
+    letters = lambda n, low, high: "".join(chr(c) for c in rng.integers(low, high, n))
+    rows = [(lang, " ".join(letters(4, 97, 123) + ends[lang] for _ in range(10 if lang == "cc" else 120))) for lang in ends for _ in range(120)]
+    rows += [("dd", letters(30, 0x3042, 0x3094)) for _ in range(120)]  # a text is one word
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    held = [(rows[r["doc_id"]][0], r["lang_pred"]) for r in language.language_report(docs).collect() if r["held_out"]]
+    for lang in (*ends, "dd"):
+        told = [p for want, p in held if want == lang]
+        assert told and sum(p == lang for p in told) >= 0.9 * len(told), (lang, told)
+
+
 def test_language_of_odd_rows(spark, odd, odd_rows, none):
     got = language.language_report(odd).collect()
     assert len(got) == len(odd_rows)
