@@ -17,6 +17,15 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban"]
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Countries by the characters of their account numbers, without country code and check digits.
+_ACCOUNTS = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
+    21: "AO CV GW LY MZ PT ST", 22: "DZ IR IS TR", 23: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    24: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+_COUNTRY = "|".join("|".join(c.split()) for c in _ACCOUNTS.values())
+_ACCOUNT = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}+" for n, c in _ACCOUNTS.items())
 PATTERNS = {
     # A start inside a run of local characters can only succeed right after an earlier match.
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -24,7 +33,8 @@ PATTERNS = {
     # Whole chains of digits with single separators; only those of 13 to 19 digits can pass.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # The country gives the length, so what follows is not swallowed; an unlisted one has any, up to where a listed one begins.
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNT}|(?!{_COUNTRY})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_COUNTRY})[0-9]{{2}}))?+[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
 }
 #: Cheap conditions that a text with a match of the kind fulfils.
 NEEDS = {

@@ -82,3 +82,12 @@ def test_no_python_on_executors(spark, sf_dir):
     for name in ("op3_ring_shards", "op4_pii"):
         plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_iban_ends_where_its_country_says(spark):
+    iban = "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{iban} BIC WESTGB2L", f"{iban} 100 EUR", f"{iban} now", f"AB12 {iban} BIC", "NO93 8601 1117 947 KTO 7", "DE89370400440532013000 USD", f"{iban}1 BIC", "GB83 WEST 1234 5698 7654 32 BIC"]
+    want = [iban, iban, iban, iban, "NO93 8601 1117 947", "DE89370400440532013000", None, None]
+    got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"]
+           for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [w] if w else [] for i, w in enumerate(want)}
