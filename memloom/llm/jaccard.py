@@ -238,7 +238,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
 
 
 def keep_one(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of `docs` that lead their class, all columns kept; of rows that repeat a kept doc_id one stays.
+    """The rows of `docs` that lead their class, all columns kept; of rows that repeat a kept doc_id the one
+    of the least text stays, and of equal texts the least by all columns as JSON, so that reruns agree.
 
     Rows of null doc_id cannot be named by a link and stay.
     """
@@ -249,5 +250,6 @@ def keep_one(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> D
     again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept.toDF(*names)
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    row = F.struct(*docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("_row")).select("_row.*")
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once).toDF(*names)

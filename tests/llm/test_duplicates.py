@@ -74,6 +74,14 @@ def test_jaccard_of_odd_rows(spark, odd, odd_rows, none):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_keep_one_of_a_repeated_id_is_the_same_in_any_order(spark):
+    texts = [f"text {chr(97 + i)} of its own" for i in range(12)]
+    for order in (texts, texts[::-1]):
+        rows = [(i % 3, t, n) for i in range(3) for t in order for n in ((2, 1) if order is texts else (1, 2))]
+        kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int").coalesce(1))
+        assert sorted(tuple(r) for r in kept.collect()) == [(0, texts[0], 1)] and kept.columns == ["doc_id", "text", "extra"]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     rows = []
