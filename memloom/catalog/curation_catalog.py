@@ -14,12 +14,13 @@ from memloom.operators import conversations as conv
 from memloom.operators import evaluation as ev
 from memloom.operators import events, fts, fusion, items as ops, reconcile, reports
 from memloom.operators import store as st
+from memloom.operators.partitions import Change, PartStore
 from memloom.plans import ingest as plan_ingest
 from memloom.plans import search as plans
 from memloom.plans import writeback as wb
 from memloom.schemas import SCOPE
 from memloom.session import scratch_path
-from memloom.sources import docs, tables
+from memloom.sources import docs, markdown, tables
 
 T = F.col
 
@@ -46,9 +47,10 @@ SELECT content_hash, arg_min(item_id, o) AS item_id, arg_min(type, o) AS type, a
  CASE WHEN max(o) >= 0 THEN '{v.NOW}' ELSE {v.ts('arg_min(updated_at, o)')} END AS updated_at FROM u GROUP BY 1""")
 def sink_upsert_items(spark, d):
     hashed = v.flat_items(spark, d).withColumn("content_hash", hash_of_content(T("content")))
-    old = ops.exact_dedupe(hashed.where(T("conversation_id").isNull()), "seq").drop("seq")
-    merged = st.merge_items(old, hashed.where(T("conversation_id").isNotNull()), v.now())
-    return merged.select("content_hash", "item_id", "type", "source", "confidence", stamp("updated_at").alias("updated_at"))
+    held = PartStore(spark, scratch_path(spark, "store"))
+    held.commit({"items": Change(ops.exact_dedupe(hashed.where(T("conversation_id").isNull()), "seq").drop("seq"))})
+    held.upsert_items(hashed.where(T("conversation_id").isNotNull()), v.now())
+    return held.read("items").select("content_hash", "item_id", "type", "source", "confidence", stamp("updated_at").alias("updated_at"))
 
 
 @query("update_items", f"""WITH {v.FLAT}, p AS (SELECT item_id, seq % 3 = 0 AS c, seq % 4 = 0 AS t, 'patched ' || source || ' by a@b.co' AS content FROM items)
@@ -401,9 +403,28 @@ def clean_turn_gate(spark, d):
 @query("stream_spend", f"""WITH {v.USAGE}, r AS (SELECT conversation_id, seq, sum(coalesce(cost_usd, 0)) OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS running FROM usage)
 SELECT conversation_id, min(seq) AS alert_seq, round(min(running), 6) AS spent FROM r WHERE running >= 1.0 GROUP BY 1""")
 def stream_spend(spark, d):
-    from memloom.streaming.spend import spend_alerts
+    from memloom.streaming.spend import ALERT, stream_spend_alerts
+
+    used, out, mark = (scratch_path(spark, label) for label in ("usage", "alerts", "mark"))
+    rows = v.usage(spark, d).select("conversation_id", "seq", "ts", "cost_usd")
+    # Two drains out of order, then a turn of nobody's long after the others, which lets the watermark pass them.
+    rows.where(T("seq") % 2 == 1).write.parquet(used)
+    rows.where(T("seq") % 2 == 0).write.mode("append").parquet(used)
+    end = rows.agg(F.max("ts").alias("ts")).where(T("ts").isNotNull())
+    end.select(F.lit(None).cast("string").alias("conversation_id"), F.lit(-1).cast("long").alias("seq"), (T("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"),
+               F.lit(0.0).alias("cost_usd")).write.mode("append").parquet(used)
+    stream = stream_spend_alerts(spark.readStream.schema(rows.schema).parquet(used), 1.0, "400 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    alerts = spark.read.schema(ALERT).parquet(out)
+    return alerts.select("conversation_id", T("seq").alias("alert_seq"), F.round("running", 6).alias("spent"))
+
+
+@query("spend_alerts", f"""WITH {v.USAGE}, r AS (SELECT conversation_id, seq, sum(coalesce(cost_usd, 0)) OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS running FROM usage)
+SELECT conversation_id, min(seq) AS alert_seq, round(min(running), 6) AS spent FROM r WHERE running >= 1.0 GROUP BY 1""")
+def spend_alerts(spark, d):
+    from memloom.streaming.spend import spend_alerts as run
 
-    return spend_alerts(v.usage(spark, d), 1.0).select("conversation_id", T("seq").alias("alert_seq"), F.round("running", 6).alias("spent"))
+    return run(v.usage(spark, d), 1.0).select("conversation_id", T("seq").alias("alert_seq"), F.round("running", 6).alias("spent"))
 
 
 @query("usage_sessions", f"""WITH {v.USAGE}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY conversation_id ORDER BY ts, seq) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM usage),
@@ -432,22 +453,9 @@ m AS (SELECT query_id, latency_ms, n, CASE WHEN n = 0 THEN 1 ELSE h5::DOUBLE / n
 
 
 def _gold(spark, d):
-    """Documents that contain a benchmark passage, found by its longest inner token.
-
-    A passage may begin or end inside a word of the document, so its first and last token do not count; the
-    inner ones are whole words there too. The containment itself is checked after the join. A passage of
-    fewer than three tokens has no gold.
-    """
-    from memloom.functions.text import tokenize
-
-    b = v.table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), T("text").alias("passage"))
-    doc = v.flat_items(spark, d).select("item_id", "content")
-    told = tokenize(T("passage"))
-    inner = F.slice(told, 2, F.greatest(F.size(told) - 2, F.lit(0)))
-    probes = b.withColumn("token", F.try_element_at(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), F.lit(1)))
-    words = doc.select("item_id", F.explode(F.array_distinct(tokenize(T("content")))).alias("token"))
-    near = words.join(F.broadcast(probes) if b.count() < 100_000 else probes, "token").join(doc, "item_id")
-    return near.where(F.contains(T("content"), T("passage"))).select("query_id", "item_id")
+    """Documents that contain a benchmark passage."""
+    passages = v.table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), T("text").alias("passage"))
+    return ev.containing(passages, v.flat_items(spark, d))
 
 
 def _eval_inputs(spark, d):
@@ -471,8 +479,7 @@ for _name, _sql, _col in [("recall_at_k", "r10", "recall_at_10"), ("mrr_at_k", "
 @query("percentile_nearest_rank", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(value) FILTER (rn = ceil(0.5 * n)) AS p50, max(value) FILTER (rn = ceil(0.95 * n)) AS p95 FROM r GROUP BY 1""")
 def percentile_nearest_rank(spark, d):
-    return v.table(spark, d, "events").groupBy("event_type").agg(
-        ev.percentile_nearest_rank("value", 50).alias("p50"), ev.percentile_nearest_rank("value", 95).alias("p95"))
+    return ev.nearest_ranks(v.table(spark, d, "events"), "value", {"p50": 50, "p95": 95}, ["event_type"])
 
 
 @query("mean_or_zero", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -545,6 +552,11 @@ def md_sections(spark, d):
     return docs.md_sections(doc_files(spark, d)).select("path", "pos", "breadcrumb", F.length("body").alias("n"))
 
 
+@query("heading_stack")
+def heading_stack(spark, d):
+    return markdown.heading_stack(markdown.ranges_of_texts(doc_files(spark, d)))
+
+
 @query("docs_to_items")
 def docs_to_items(spark, d):
     return docs.docs_to_items(docs.keep_doc_files(doc_files(spark, d))).select(

@@ -9,6 +9,7 @@ from memloom.catalog.registry import query
 from memloom.functions import ids, redact, render, scope, scoring, text, tokens, vectors
 from memloom.operators import embed, items as ops
 from memloom.schemas import SCOPE
+from memloom.session import scratch_path
 from memloom.sources import docs, tables
 
 T = F.col
@@ -17,7 +18,9 @@ stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 @query("scan_items", f"WITH {v.ITEMS} SELECT item_id, tenant, user_id, project, type, source, confidence, {v.ts('created_at')} AS created_at, {v.ts('updated_at')} AS updated_at, conversation_id, length(content) AS n FROM items")
 def scan_items(spark, d):
-    return v.items(spark, d).select("item_id", *SCOPE, "type", "source", "confidence", stamp("created_at").alias("created_at"),
+    path = scratch_path(spark, "items")
+    tables.write_items(v.items(spark, d), path)
+    return tables.read_items(spark, path).select("item_id", *SCOPE, "type", "source", "confidence", stamp("created_at").alias("created_at"),
                                     stamp("updated_at").alias("updated_at"), "conversation_id", F.length("content").cast("long").alias("n"))
 
 

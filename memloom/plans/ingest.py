@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from memloom.operators import evaluation as ev
 from memloom.operators import graph
-from memloom.operators.reconcile import ReconcileConfig, reconcile
+from memloom.operators.partitions import Change, PartStore
+from memloom.operators.reconcile import ReconcileConfig, reconcile, reconcile_changes
 from memloom.plans import search as plans
 from memloom.schemas import SCOPE
 from memloom.session import cut_lineage
@@ -35,6 +36,30 @@ def write_items(
     return outcomes, out
 
 
+def write_changes(
+    writes: DataFrame, store: PartStore, now: Column, config: ReconcileConfig = ReconcileConfig(), number: int | None = None
+) -> tuple[DataFrame, dict[str, Change]]:
+    """As write_items, against the version of a partitioned store before `number`: outcomes and the rows that change.
+
+    Only the partitions of the writes' tenants (items) and of the named entities, links and edges are read.
+    """
+    outcomes, items = reconcile_changes(writes.drop("entities"), store.read_tenants("items", writes, number), now, config)
+    outcomes, changes = cut_lineage(outcomes), {"items": Change(items)}
+    if "entities" not in writes.columns:
+        return outcomes, changes
+    stored = outcomes.where(F.col("outcome") != "rejected").select("seq", "item_id")
+    mentions = cut_lineage(graph.named_entities(writes.select("seq", *SCOPE, "entities").join(stored, "seq")))
+    known = store.read_keys("entities", mentions, number)
+    earlier = known.select(*SCOPE, "entity_id", "name_norm", "name", "kind", F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("pos"))
+    merged = graph.entity_merge(earlier.unionByName(mentions.select(*earlier.columns)))
+    changes["entities"] = Change(merged.join(known, merged.columns, "left_anti"))
+    links = graph.item_links(mentions)
+    changes["links"] = Change(graph.dedupe_links(links, store.read_keys("links", links, number)))
+    edges = cut_lineage(graph.edge_weight(graph.cooccurrence_pairs(mentions)))
+    changes["relations"] = Change(graph.merge_edges(store.read_keys("relations", edges, number), edges))
+    return outcomes, changes
+
+
 def evaluate(
     queries: DataFrame, store: plans.Store, relevant: DataFrame, now: Column, config: plans.SearchConfig, label: str
 ) -> DataFrame:

@@ -60,6 +60,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors with maps and timers need this state store; streams already running keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 _shipped: set[str] = set()
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from memloom.operators.conversations import COST_CEILING_USD
+from memloom.session import keep_state_in_rocksdb
+
+WATERMARK = "10 minutes"
+ALERT = "conversation_id string, ts timestamp, seq bigint, running double"
 
 
 def spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD) -> DataFrame:
@@ -31,6 +39,65 @@ def spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD) -> DataFra
     )
 
 
+class CeilingWatch(StatefulProcessor):
+    """One conversation: turns that the watermark has not passed yet, what was spent before them, and whether it was told.
+
+    Turns count in order of time once the watermark has passed them, so the alert names the same turn however
+    they arrive. A turn that comes again while it waits replaces itself; later it is older than the
+    watermark and Spark leaves it out. After the alert nothing but the mark of it is kept.
+    """
+
+    def __init__(self, ceiling: float) -> None:
+        self.ceiling = ceiling
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq bigint", "at bigint, cost double")
+        self.spent = handle.getValueState("spent", "spent double, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.spent.exists() and self.spent.get()[1]:
+            return iter([])
+        turns = pd.concat(list(rows)).drop_duplicates("seq")
+        for seq, at, cost in zip(turns["seq"].tolist(), turns["at"].tolist(), turns["cost"].tolist()):
+            if not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), (at, cost))
+                # Behind the turn's own millisecond: the watermark is then past the whole of it.
+                self.handle.registerTimer(at // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        spent, told = self.spent.get() if self.spent.exists() else (0.0, False)
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = sorted((value[0], seq[0], value[1]) for seq, value in self.waiting.iterator() if value[0] < upto)
+        if told or not due:
+            return
+        for at, seq, cost in due:
+            spent += cost
+            if spent >= self.ceiling:
+                self.waiting.clear()
+                self.spent.update((spent, True))
+                yield pd.DataFrame({"conversation_id": [key[0]], "ts": [pd.Timestamp(at, unit="us", tz="UTC")], "seq": [seq], "running": [spent]})
+                return
+            self.waiting.removeKey((seq,))
+        self.spent.update((spent, False))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD, delay: str = WATERMARK) -> DataFrame:
+    """One alert per conversation of a stream usage(conversation_id, seq, ts, cost_usd): the turn that reaches the ceiling.
+
+    The alert follows once the watermark has passed that turn. Turns older than the watermark are left out.
+    """
+    keep_state_in_rocksdb(usage.sparkSession)
+    turns = usage.withWatermark("ts", delay).select(
+        "conversation_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("at"),
+        F.coalesce(F.col("cost_usd").cast("double"), F.lit(0.0)).alias("cost"))
+    return turns.groupBy("conversation_id").transformWithStateInPandas(CeilingWatch(ceiling), ALERT, "Append", "EventTime")
+
+
 def stream_spend(usage: DataFrame) -> DataFrame:
     """Update-mode running spend of a usage stream."""
     return usage.groupBy("conversation_id").agg(
