@@ -2,36 +2,31 @@
 
 Both sides are cut into blocks of at most about `block_rows` vectors per scope, so a scope
 holding a third of all rows becomes many independent block pairs. Each task multiplies one
-block pair and emits only the best rows, never all pairs.
+block pair and emits only the best rows, never all pairs. In scopes of many blocks a vector meets only
+the blocks that can hold a wanted row (see pivots).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.scoring import SCORE_DIGITS
+from memloom.operators import pivots as pv
 from memloom.operators.items import scope_join
 from memloom.schemas import SCOPE
 from memloom.session import broadcast_if_small, cut_lineage
 
 BLOCK_ROWS = 8192
+#: Scopes of so many blocks on the right are searched by way of pivots.
+PIVOT_BLOCKS = 8
 _CHUNK = 1024
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(array), -1) if len(array) else flat.reshape(0, 0)
-    lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    lengths[lengths == 0] = np.inf
-    return matrix / lengths[:, None]
-
-
 def _allowed(types: pa.ChunkedArray, right_types: np.ndarray) -> np.ndarray | None:
     lists = types.to_pylist()
     if not any(lists):
@@ -52,7 +47,7 @@ def _best_in_block(k: int | None, threshold: float | None, has_types: bool, earl
             return schema.empty_table()
         left = left.rename_columns([c.removeprefix("l_") for c in left.column_names])
         right = right.sort_by("item_id")
-        a, b = _matrix(left["vector"]), _matrix(right["vector"])
+        a, b = pv.unit_rows(left["vector"]), pv.unit_rows(right["vector"])
         ids = np.asarray(left["query_id"].to_pylist(), dtype=object)
         names = np.asarray(right["item_id"].to_pylist(), dtype=object)
         mask = None
@@ -96,16 +91,17 @@ def _best_in_block(k: int | None, threshold: float | None, has_types: bool, earl
     return run
 
 
-def _pair_blocks(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _sizes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(scope, nl, nr): rows of both sides in the scopes that have both."""
+    return cut_lineage(left.groupBy(*SCOPE).agg(F.count("*").alias("nl")).join(
+        right.groupBy(*SCOPE).agg(F.count("*").alias("nr")), SCOPE))
+
+
+def _pair_blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Tag rows with block pair numbers; sides are copied once per opposite block of the scope."""
     blocks = lambda n: F.ceil(F.col(n) / F.lit(block_rows)).cast("int")
-    plan = (
-        left.groupBy(*SCOPE).agg(F.count("*").alias("nl"))
-        .join(right.groupBy(*SCOPE).agg(F.count("*").alias("nr")), SCOPE)
-        .select(*SCOPE, blocks("nl").alias("nl"), blocks("nr").alias("nr"))
-    )
-    plan = cut_lineage(plan)
-    plan = broadcast_if_small(plan, plan.count(), 256)
+    plan = sizes.select(*SCOPE, blocks("nl").alias("nl"), blocks("nr").alias("nr"))
+    plan = broadcast_if_small(plan, sizes.count(), 256)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     l = left.join(plan, SCOPE).withColumn("lb", mine("query_id", "nl")).withColumn("rb", every("nr"))
@@ -113,6 +109,52 @@ def _pair_blocks(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[Da
     return l.drop("nl", "nr"), r.drop("nl", "nr")
 
 
+def _compare(l: DataFrame, r: DataFrame, keys: list[str], k: int | None, threshold: float | None, earlier_only: bool) -> DataFrame:
+    has_types = "types" in l.columns and "type" in r.columns
+    # Left and right may stem from the same table, so one side gets columns of its own.
+    l = l.select(*[F.col(c).alias(f"l_{c}") for c in l.columns])
+    return (
+        l.groupBy(*[f"l_{c}" for c in keys]).cogroup(r.groupBy(*keys))
+        .applyInArrow(
+            _best_in_block(k, threshold, has_types, earlier_only),
+            "query_id string, item_id string, score double",
+        )
+    )
+
+
+def _pivot_search(
+    left: DataFrame, right: DataFrame, sizes: DataFrame, k: int | None, threshold: float | None, block_rows: int, earlier_only: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(best rows, pairs compared and pairs in all) of the scopes in sizes(scope, nl, nr)."""
+    of = lambda n: sizes.select(*SCOPE, F.col(n).alias("n"))
+    keys = [*SCOPE, "home", "lb", "rb"]
+    pivots = cut_lineage(pv.choose_pivots(right.join(sizes.select(*SCOPE), SCOPE, "left_semi")), "pivots")
+    # A scope without any direction has no pivots: all of it is one home.
+    pivots = sizes.select(*SCOPE).join(pivots, SCOPE, "left").withColumn(
+        "pivots", F.coalesce("pivots", F.array().cast("array<array<float>>")))
+    placed, maps = pv.homes(right, pivots, of("nr"), block_rows)
+    asked = left.withColumn("bar", F.lit(threshold).cast("double"))
+    plans, found = [], []
+
+    def search(rows: DataFrame) -> DataFrame:
+        l, r, plan = pv.met(cut_lineage(rows, "visits"), placed, block_rows)
+        plans.append(plan)
+        found.append(_compare(l.drop("bar", "seen"), r, keys, k, threshold, earlier_only))
+        return found[-1]
+
+    if threshold is None and k is not None:
+        # The k-th score in the nearest home is the bar that all other homes have to reach.
+        own = cut_lineage(pv.visits(asked, pivots, maps, of("nl"), block_rows, own_only=True), "visits")
+        first = cut_lineage(topk_per_query(search(own), k), "first")
+        found[-1] = first.drop("rank")
+        bars = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        asked = own.withColumn("seen", F.col("homes")[0]).drop("bar", "homes").join(bars, "query_id", "left")
+    search(pv.visits(asked, pivots, maps, of("nl"), block_rows))
+    every = sizes.agg(F.sum(F.col("nl") * F.col("nr")).alias("pairs"))
+    compared = reduce(DataFrame.unionByName, plans).agg(F.sum(F.col("nl") * F.col("nr")).alias("compared"))
+    return reduce(DataFrame.unionByName, found), compared.join(F.broadcast(every))
+
+
 def blocked_similarity(
     left: DataFrame,
     right: DataFrame,
@@ -120,24 +162,26 @@ def blocked_similarity(
     threshold: float | None = None,
     block_rows: int = BLOCK_ROWS,
     earlier_only: bool = False,
+    pivot_blocks: int = PIVOT_BLOCKS,
 ) -> DataFrame:
     """(query_id, item_id, score): the block-wise best of right(item_id, vector) for left(query_id, vector).
 
     Both sides carry a full scope. With k, at most k rows per left row and block survive; cut
-    again over blocks by `topk_per_query`.
+    again over blocks by `topk_per_query`. Scopes of `pivot_blocks` blocks or more leave out the blocks that
+    can hold nothing wanted.
     """
-    has_types = "types" in left.columns and "type" in right.columns
-    l, r = _pair_blocks(left, right, block_rows)
-    keys = [*SCOPE, "lb", "rb"]
-    # Left and right may stem from the same table, so one side gets columns of its own.
-    l = l.select(*[F.col(c).alias(f"l_{c}") for c in l.columns])
-    return (
-        l.groupBy(*[f"l_{c}" for c in keys]).cogroup(r.groupBy(*keys))
-        .applyInArrow(
-            _best_in_block(k, threshold, has_types, earlier_only),
-            "query_id string, item_id string, score double",
-        )
-    )
+    sizes = _sizes(left, right)
+    large = sizes.where(F.col("nr") > (pivot_blocks - 1) * block_rows)
+    l, r = _pair_blocks(left, right, sizes.where(F.col("nr") <= (pivot_blocks - 1) * block_rows), block_rows)
+    small = _compare(l, r, [*SCOPE, "lb", "rb"], k, threshold, earlier_only)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_pivot_search(left, right, large, k, threshold, block_rows, earlier_only)[0])
+
+
+def compared_share(left: DataFrame, right: DataFrame, k: int | None, threshold: float | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(compared, pairs): how many pairs a search by way of pivots multiplies, of all pairs inside the scopes."""
+    return _pivot_search(left, right, _sizes(left, right), k, threshold, block_rows, False)[1]
 
 
 def topk_per_query(scored: DataFrame, k, order=("-score", "item_id"), by: str = "query_id") -> DataFrame:
