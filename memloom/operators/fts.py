@@ -1,4 +1,9 @@
-"""Full-text ranking: postings, OR queries and closed-form cover density."""
+"""Full-text ranking: postings, OR queries and closed-form cover density.
+
+Matches are scored where the item is: the postings that some query asks for are dealt by item, the queries'
+terms are sent to all of them (while their checked size allows), and each partition hands on no more than its own
+best k rows of a query. A term that every item holds costs work in every partition and no shuffle.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,9 @@ from memloom.operators.embed import token_counts
 from memloom.operators.items import live_filter, scope_join, type_allowed
 from memloom.operators.knn import topk_per_query
 from memloom.schemas import SCOPE
+from memloom.session import BROADCAST_BYTES
+
+TERM_BYTES = 200
 
 # Fixed value: weight of one match.
 MATCH_WEIGHT = 0.1
@@ -17,13 +25,14 @@ MATCH_WEIGHT = 0.1
 _META = ["type", "superseded_by", "updated_at"]
 
 
-def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def postings(items: DataFrame, wanted: DataFrame | None = None, by_item: bool = False) -> DataFrame:
     """Inverted index rows (scope, token, item_id, tf) with what ranking and filters need.
 
-    With `wanted` tokens only their rows are counted, before anything is shuffled.
+    With `wanted` tokens only their rows are counted, before anything is shuffled; `by_item` deals them so
+    that all of an item lie in one partition.
     """
     keys = [*SCOPE, "item_id", *_META]
-    return token_counts(items.select(*keys, "content"), "content", keys, wanted)
+    return token_counts(items.select(*keys, "content"), "content", keys, wanted, "item_id" if by_item else None)
 
 
 def terms_of(queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -33,23 +42,25 @@ def terms_of(queries: DataFrame, limit: int | None = None) -> DataFrame:
     return queries.select(*keep, F.explode(terms).alias("token"))
 
 
-def match_terms(queries: DataFrame, index: DataFrame, include_superseded: bool = False) -> DataFrame:
-    """(query, item, token, tf) for every posting a query's terms reach in scope."""
+def match_terms(queries: DataFrame, index: DataFrame, include_superseded: bool = False, small: bool = False) -> DataFrame:
+    """(query, item, token, tf) for every posting a query's terms reach in scope; `small` terms are broadcast."""
     terms = terms_of(queries)
-    matched = scope_join(terms, live_filter(index, include_superseded), on=("token",))
+    matched = scope_join(F.broadcast(terms) if small else terms, live_filter(index, include_superseded), on=("token",))
     if "types" in terms.columns:
         matched = matched.where(type_allowed(F.col("types"), F.col("type")))
     return matched
 
 
 def fts_scores(
-    queries: DataFrame, index: DataFrame, rank: str = "cover_density", include_superseded: bool = False, max_positions: int | None = None
+    queries: DataFrame, index: DataFrame, rank: str = "cover_density", include_superseded: bool = False, max_positions: int | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Score per (query, item). rank: cover_density, coverage (terms matched) or idf.
 
-    Every place of a term counts unless max_positions bounds them per term.
+    Every place of a term counts unless max_positions bounds them per term. With `small` queries and an index
+    dealt by item nothing but the document counts of idf is shuffled.
     """
-    matched = match_terms(queries, index, include_superseded)
+    matched = match_terms(queries, index, include_superseded, small)
     positions = F.col("tf") if max_positions is None else F.least(F.col("tf"), F.lit(max_positions))
     if rank == "cover_density":
         score = F.sum(positions) * MATCH_WEIGHT
@@ -58,7 +69,8 @@ def fts_scores(
     elif rank == "idf":
         # Counted by a combined aggregate: a frequent word's postings need not meet in one task.
         df = matched.groupBy("query_id", "token").agg(F.count("*").alias("df"))
-        matched = matched.join(df, ["query_id", "token"])
+        # One row per term of a query at most.
+        matched = matched.join(F.broadcast(df) if small else df, ["query_id", "token"])
         score = F.round(F.sum(1.0 / F.log2(F.col("df") + 1.0)), 9)
     else:
         raise ValueError(f"unknown rank {rank}")
@@ -75,8 +87,20 @@ def fts_branch(
     include_superseded: bool = False,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """Top k items per query by term matches, then recency, then id. Pass a stored index to skip the scan."""
-    scores = fts_scores(queries, postings(items, terms_of(queries)) if index is None else index, rank, include_superseded)
-    scores = scores.withColumn("score", F.round("score", 9))
+    """Top k items per query by term matches, then recency, then id. Pass a stored index to skip the scan.
+
+    At most k rows of a query leave a partition of the items, as long as the terms fit a broadcast.
+    """
+    terms = terms_of(queries)
+    small = terms.count() * TERM_BYTES <= BROADCAST_BYTES
+    if index is None:
+        held = postings(items, terms, by_item=small)
+    elif small:
+        columns = [*SCOPE, "token", "item_id", "tf", *_META]
+        asked = F.broadcast(terms.select("token").distinct())
+        held = index.select(*columns).join(asked, "token", "left_semi").repartition("item_id")
+    else:
+        held = index
+    scores = fts_scores(queries, held, rank, include_superseded, small=small).withColumn("score", F.round("score", 9))
     top = topk_per_query(scores, k, ("-score", "-updated_at", "item_id"))
     return top.select("query_id", "item_id", "score", "rank")

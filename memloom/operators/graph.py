@@ -23,6 +23,8 @@ EDGE_FIRST = 1.0
 EDGE_STEP = 0.25
 EDGE_CAP = 5.0
 
+#: Places of an item's entity list in one block of pairs.
+PAIR_BLOCK = 256
 _GRAM = 3
 
 
@@ -61,20 +63,23 @@ def dedupe_links(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.dropDuplicates(["item_id", "entity_id"]).join(stored, ["item_id", "entity_id"], "left_anti")
 
 
-def cooccurrence_pairs(mentions: DataFrame) -> DataFrame:
-    """Ordered pairs of an item's distinct entities, as many as its own list gives."""
+def cooccurrence_pairs(mentions: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Ordered pairs of an item's distinct entities, as many as its own list gives.
+
+    An item's entities are cut into blocks of `block` places. Pairs inside a block come from its row; items of
+    several blocks also join each block with the later ones, so no row is wider than a block.
+    """
     firsts = mentions.groupBy("item_id", "seq", "entity_id").agg(F.min("pos").alias("pos"))
-    listed = firsts.groupBy("item_id", "seq").agg(
+    blocks = firsts.groupBy("item_id", "seq", F.floor(F.col("pos") / block).alias("block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity_id"))), lambda e: e["entity_id"]).alias("ids")
     )
-    pairs = F.flatten(F.transform(
-        F.col("ids"),
-        lambda a, i: F.transform(
-            F.slice(F.col("ids"), i + 2, F.size("ids")),
-            lambda b: F.struct(a.alias("from_entity"), b.alias("to_entity")),
-        ),
-    ))
-    return listed.select("item_id", "seq", F.explode(pairs).alias("p")).select("item_id", "seq", "p.*")
+    inside = blocks.where(F.size("ids") > 1).select("item_id", "seq", F.posexplode("ids").alias("i", "from_entity"), "ids").select(
+        "item_id", "seq", "from_entity", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("to_entity"))
+    later = blocks.where(F.col("block") > 0).select("item_id", "seq", F.col("block").alias("other"), F.col("ids").alias("others"))
+    across = blocks.join(later, ["item_id", "seq"]).where(F.col("block") < F.col("other")).select(
+        "item_id", "seq", F.explode("ids").alias("from_entity"), "others").select(
+        "item_id", "seq", "from_entity", F.explode("others").alias("to_entity"))
+    return inside.unionByName(across)
 
 
 def edge_weight(pairs: DataFrame, type_: str = "RELATES_TO") -> DataFrame:
@@ -152,14 +157,24 @@ def both_ways(relations: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
-def _neighbours(frontier: DataFrame, relations: DataFrame) -> DataFrame:
-    reached = frontier.select("query_id", "entity_id").join(both_ways(relations), "entity_id")
+def adjacency(relations: DataFrame, entities: DataFrame, most: int | None = None) -> DataFrame:
+    """(entity_id, other) of the given entities: all their neighbours, or the `most` with the lowest ids."""
+    wanted = entities.select("entity_id").distinct()
+    near = both_ways(relations).join(wanted, "entity_id", "left_semi").distinct()
+    if most is None:
+        return near
+    lowest = Window.partitionBy("entity_id").orderBy("other")
+    return near.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= most).drop("_n")
+
+
+def _neighbours(frontier: DataFrame, relations: DataFrame, most: int | None = None) -> DataFrame:
+    reached = frontier.select("query_id", "entity_id").join(adjacency(relations, frontier, most), "entity_id")
     return reached.select("query_id", F.col("other").alias("entity_id"))
 
 
-def expand_frontier(frontier: DataFrame, relations: DataFrame) -> DataFrame:
-    """Distinct neighbours of each query's frontier(query_id, entity_id)."""
-    return _neighbours(frontier, relations).distinct()
+def expand_frontier(frontier: DataFrame, relations: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct neighbours of each query's frontier(query_id, entity_id), at most `most` of one entity where it is given."""
+    return _neighbours(frontier, relations, most).distinct()
 
 
 def expand_unseen(neighbours: DataFrame, visited: DataFrame) -> DataFrame:
@@ -171,15 +186,17 @@ def graph_expand(seeds: DataFrame, relations: DataFrame, depth: int = 1, max_nod
 
     Each round is one union and min-hop aggregate (which also drops entities already seen),
     then a per-query cap in order of hop and id, so a hub cannot feed the next round more
-    than max_nodes entities. The rounds are unrolled into one plan.
+    than max_nodes entities. An entity hands each query at most its 2 * max_nodes + 1 lowest
+    neighbours: of those no more than max_nodes were seen before, so the cap and the mark of a cut are
+    exact. A round's state, at most max_nodes rows a query, is written once.
     """
     best = Window.partitionBy("query_id").orderBy("hop", "entity_id")
     whole = Window.partitionBy("query_id")
-    state = seeds.groupBy("query_id", "entity_id").agg(F.lit(0).alias("hop")).withColumn("over", F.lit(False))
+    state = cut_lineage(seeds.groupBy("query_id", "entity_id").agg(F.lit(0).alias("hop")).withColumn("over", F.lit(False)), "expanded")
     for hop in range(1, min(max(depth, 0), MAX_DEPTH) + 1):
         # A query that is already cut keeps its nodes: further steps could not add any.
         frontier = state.where((F.col("hop") == hop - 1) & ~F.col("over"))
-        reached = _neighbours(frontier, relations).select(
+        reached = _neighbours(frontier, relations, 2 * max_nodes + 1).select(
             "query_id", "entity_id", F.lit(hop).alias("hop"), F.lit(False).alias("over")
         )
         merged = state.unionByName(reached).groupBy("query_id", "entity_id").agg(
@@ -188,7 +205,7 @@ def graph_expand(seeds: DataFrame, relations: DataFrame, depth: int = 1, max_nod
         # One row past the cap is enough to know that something was cut.
         ranked = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_nodes + 1)
         flagged = ranked.withColumn("over", F.max(F.col("over") | (F.col("n") > max_nodes)).over(whole))
-        state = flagged.where(F.col("n") <= max_nodes).select("query_id", "entity_id", "hop", "over")
+        state = cut_lineage(flagged.where(F.col("n") <= max_nodes).select("query_id", "entity_id", "hop", "over"), "expanded")
     return state.withColumnRenamed("over", "truncated")
 
 
@@ -236,8 +253,7 @@ def graph_best_score(pairs: DataFrame) -> DataFrame:
 def graph_branch(queries: DataFrame, items: DataFrame, entities: DataFrame, relations: DataFrame, links: DataFrame, k: int, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Ranked hits and one status row per query (seeds found, truncated)."""
     seeds = link_entities(queries, entities)
-    # Read twice below, and at most max_nodes rows per query.
-    reached = cut_lineage(graph_expand(seeds, relations, depth))
+    reached = graph_expand(seeds, relations, depth)
     status = (
         queries.select("query_id")
         .join(reached.groupBy("query_id").agg(F.max("truncated").alias("truncated")), "query_id", "left")
