@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.render import argues, js_trim, promote_decision, slug, strip_trailers
+from memloom.sources import markdown
 
 # Limits of a repository scan.
 MIN_CHARS = 120
@@ -92,46 +93,25 @@ def path_classify(path: Column) -> Column:
     return rule
 
 
-_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
-_HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
-_CLOSING = re.compile(r"\s*#+\s*$")
+def md_sections(docs: DataFrame, range_chars: int = markdown.RANGE_CHARS) -> DataFrame:
+    """(path, pos, breadcrumb, body): one row per non-empty section.
 
-
-def _split_markdown(text: str) -> Iterator[tuple[str, str]]:
-    """(breadcrumb, body) per heading; headings inside fences do not count."""
-    trail: dict[int, str] = {}
-    crumb, body, fence = "", [], ""
-    for line in re.split(r"\r?\n", text):
-        mark = _FENCE.match(line)
-        heading = None if mark or fence else _HEADING.match(line)
-        if mark:
-            sign = mark.group(1)[0]
-            fence = sign if not fence else "" if fence == sign else fence
-        if heading is None:
-            body.append(line)
-            continue
-        yield crumb, "\n".join(body).strip()
-        level = len(heading.group(1))
-        trail = {depth: title for depth, title in trail.items() if depth < level}
-        trail[level] = _CLOSING.sub("", heading.group(2))
-        crumb, body = " > ".join(title for _, title in sorted(trail.items()) if title), []
-    yield crumb, "\n".join(body).strip()
-
-
-def md_sections(docs: DataFrame) -> DataFrame:
-    """(path, pos, breadcrumb, body): one row per non-empty section, file by file in Arrow batches."""
+    Files of up to `range_chars` characters are split where they are read; longer ones are cut into ranges of
+    lines that many tasks scan.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
-                kept = [s for s in _split_markdown(content or "") if s[1]]
+                kept = [s for s in markdown.split_whole(content or "") if s[1]]
                 rows += [(path, i, crumb, body) for i, (crumb, body) in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["path", "pos", "breadcrumb", "body"])
 
-    return docs.select("path", "content").mapInPandas(
-        split, "path string, pos int, breadcrumb string, body string"
-    )
+    files = docs.select("path", "content")
+    large = F.coalesce(F.length("content"), F.lit(0)) > range_chars
+    small = files.where(~large).mapInPandas(split, "path string, pos int, breadcrumb string, body string")
+    return small.unionByName(markdown.sections_of_ranges(markdown.ranges_of_texts(files.where(large), range_chars)))
 
 
 def section_quality_filter(sections: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
