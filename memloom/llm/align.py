@@ -12,6 +12,7 @@ and gets the pair's total back; the links of its documents are places in the blo
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from memloom.llm.counts import encode_long
 from memloom.llm.flat import pieces
-from memloom.llm.vocab import load, remembered
+from memloom.llm.vocab import Memory, load
 from memloom.session import cut_lineage
 
 #: Bytes of text in a block, and code points from which on a text is encoded chunk by chunk.
@@ -52,7 +53,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.models = load(path_a, plain=True), load(path_b)
-        self.memory = remembered(path_a, plain=True), remembered(path_b)
+        # A reads a space before each stretch, B adds it by itself.
+        self.memory = Memory(self._pairs, self.models[1].gap if self.models[0].gap else None)
         self.bytes = [m.token_bytes() for m in self.models]
         self.lengths = [np.array([len(b) for b in table]) for table in self.bytes]
         self.width = self.models[1].size
@@ -60,29 +62,36 @@ class Aligner:
         names = max(m.size for m in self.models)
         self.names = np.array([[f"{i}{mark}".encode() for i in range(names)] for mark in ",|;"])
 
-    def encode(self, side: int, texts: list[str]) -> list[np.ndarray]:
-        """Ids of the texts; A reads a space before each, B adds it by itself."""
-        memory, space = self.memory[side], "" if side else " "
-        short = iter(memory.ids([space + t for t in texts if len(t) <= LONG]))
-        return [next(short) if len(t) <= LONG else encode_long(memory.model, space + t) for t in texts]
+    def _spelled(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
+        """Ids of A and B as 32-bit words, or None where either does not spell out space+text."""
+        want = b" " + text.encode()
+        if any(b"".join([table[i] for i in ids]) != want for table, ids in zip(self.bytes, (a, b))):
+            return None
+        return array("i", a).tobytes(), array("i", b).tobytes()
+
+    def _pairs(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        return list(map(self._spelled, texts, self.models[0].ids([" " + t for t in texts]), self.models[1].ids(texts)))
+
+    def _long(self, text: str) -> list[tuple[bytes, bytes] | None]:
+        return [self._spelled(text, encode_long(self.models[0], " " + text).tolist(), encode_long(self.models[1], text).tolist())]
 
     def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
         """Ids of A and B and the bytes of each text; none where text is empty or the tokens do not spell space+text."""
-        a, b, sizes = self.encode(0, texts), self.encode(1, texts), []
-        none = np.zeros(0, np.int64)
-        for i, text in enumerate(texts):
-            want = b" " + text.encode()
-            told = (b"".join([table[t] for t in ids.tolist()]) for table, ids in zip(self.bytes, (a[i], b[i])))
-            if not text or any(t != want for t in told):
-                a[i] = b[i] = none
-            sizes.append(len(want) if len(a[i]) else 0)
+        short = iter(self.memory.of([t for t in texts if len(t) <= LONG]))
+        a, b, sizes = [], [], []
+        for text in texts:
+            told = next(short) if len(text) <= LONG else self._long(text)
+            good = bool(text) and None not in told
+            a.append(np.frombuffer(b"".join([x for x, _ in told]) if good else b"", np.int32))
+            b.append(np.frombuffer(b"".join([y for _, y in told]) if good else b"", np.int32))
+            sizes.append(len(text.encode()) + 1 if good else 0)
         return a, b, sizes
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         """((n_a, n_b, n_groups, n_links, groups as bytes) of each text, pair of each link, links per text)."""
         a, b, sizes = self.tokens(texts)
         counts = [np.array([len(x) for x in side]) for side in (a, b)]
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.concatenate(side).astype(np.int64) for side in (a, b))
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         label_a, label_b = terminals(ends_a, ends_b)
         # Every group has one terminal; they stand in the order of the text.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm.flat import pieces
-from memloom.llm.vocab import Tokens, load, remembered
+from memloom.llm.vocab import Tokens, count_memory, load
 from memloom.session import cut_lineage
 
 CHUNK = 1 << 14
@@ -163,12 +163,12 @@ def _cut(rows: DataFrame, keep: list[str], path: str, chunk: int, overlap: int)
     arrow_types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = remembered(path), TaskContext.get().partitionId() << 32
+        memory, number = count_memory(path), TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in pieces(batch, "text"):
                 texts = [t or "" for t in piece.column(len(keep)).to_pylist()]
                 huge = [len(t) > chunk + 2 * overlap for t in texts]
-                counts = iter(model.counts([t for t, h in zip(texts, huge) if not h]))
+                counts = map(sum, memory.of([t for t, h in zip(texts, huge) if not h]))
                 at, rest = [], []
                 for i, (text, large) in enumerate(zip(texts, huge)):
                     at.append(i)

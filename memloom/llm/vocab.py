@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -115,56 +116,54 @@ class PieceVocabulary:
                 for i in range(self.size)]
 
 
-STRETCHES_KEPT, STRETCH_BYTES_KEPT = 200_000, 32 << 20
+STRETCHES_KEPT, STRETCH_CHARS_KEPT = 100_000, 16 << 20
 
 
-class Remembered:
-    """Ids of texts by the stretches between single spaces; those met before are remembered, up to a bound.
+class Memory:
+    """What an encoder says of the stretches between single spaces, remembered in two bounded generations.
 
     A single space between two characters that are not white space bounds a stretch where the vocabulary proves
     it (`gap`): no pre-token or merge crosses it, no normalisation joins over it and no special token holds it.
-    Other vocabularies encode whole texts.
+    Without a gap whole texts are encoded. A full generation becomes the old one; what is met again moves
+    to the new one, so frequent stretches stay.
     """
 
-    def __init__(self, model) -> None:
-        self.model = model
-        self.known: dict[str, list[int]] = {}
-        self.room = STRETCH_BYTES_KEPT
-
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        parts = [self.model.gap.split(t) if self.model.gap else [t] for t in texts]
-        missing = [p for p in set(chain.from_iterable(parts)) if p not in self.known]
-        if len(self.known) + len(missing) > STRETCHES_KEPT or self.room < 0:
-            self.known, self.room = {}, STRETCH_BYTES_KEPT
-            missing = list(set(chain.from_iterable(parts)))
-        self.room -= sum(map(len, missing))
+    def __init__(self, encode: Callable[[list[str]], list], gap: re.Pattern | None) -> None:
+        self.encode, self.gap = encode, gap
+        self.new: dict = {}
+        self.old: dict = {}
+        self.room = STRETCH_CHARS_KEPT
+
+    def of(self, texts: list[str]) -> list[list]:
+        """For each text what the encoder says of its stretches."""
+        if self.gap is None:
+            return [[told] for told in self.encode(texts)]
+        parts = [self.gap.split(t) for t in texts]
+        if len(self.new) > STRETCHES_KEPT or self.room < 0:
+            self.old, self.new, self.room = self.new, {}, STRETCH_CHARS_KEPT
+        new, old = self.new, self.old
+        unseen = [p for p in set(chain.from_iterable(parts)) if p not in new]
+        self.room -= sum(map(len, unseen))
+        new.update([(p, old[p]) for p in unseen if p in old])
+        missing = [p for p in unseen if p not in old]
         if missing:
-            self.known.update(zip(missing, self.model.ids(missing)))
-        return parts
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts = self._split(texts)
-        known = self.known
-        return [np.fromiter(chain.from_iterable([known[p] for p in some]), np.int64) for some in parts]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        parts = self._split(texts)
-        known = self.known
-        return [sum([len(known[p]) for p in some]) for some in parts]
+            new.update(zip(missing, self.encode(missing)))
+        return [[new[p] for p in some] for some in parts]
 
 
 _loaded: dict = {}
 
 
-def remembered(path: str, plain: bool = False) -> Remembered:
-    """The memory of a vocabulary, one in a process."""
-    if (path, plain, "memory") not in _loaded:
-        _loaded[path, plain, "memory"] = Remembered(load(path, plain))
-    return _loaded[path, plain, "memory"]
-
-
 def load(path: str, plain: bool = False):
     """The vocabulary of a file, read once in a process."""
     if (path, plain) not in _loaded:
         _loaded[path, plain] = JsonVocabulary(path, plain) if path.endswith(".json") else PieceVocabulary(path)
     return _loaded[path, plain]
+
+
+def count_memory(path: str) -> Memory:
+    """Token counts of stretches, one memory in a process."""
+    if (path, "counts") not in _loaded:
+        model = load(path)
+        _loaded[path, "counts"] = Memory(lambda parts: [len(ids) for ids in model.ids(parts)], model.gap)
+    return _loaded[path, "counts"]

@@ -41,11 +41,11 @@ def test_spliced_chunks_equal_the_whole_encoding(name, plain):
 def test_stretches_equal_the_whole_encoding(name, plain, monkeypatch):
     model = vocab.load(path(name), plain)
     monkeypatch.setattr(vocab, "STRETCHES_KEPT", 500)
-    memory, texts = vocab.Remembered(model), noise(300, 60, 2)
+    memory, texts = vocab.Memory(model.ids, model.gap), noise(300, 60, 2)
     assert model.gap
-    for part in (texts[:150], texts[150:], texts[:20]):
-        assert [x.tolist() for x in memory.ids(part)] == model.ids(part)
-        assert memory.counts(part) == [len(x) for x in model.ids(part)]
+    for part in (texts[:150], texts[150:], texts[:20], texts[100:220]):
+        assert [sum(told, []) for told in memory.of(part)] == model.ids(part)
+    assert vocab.Memory(model.ids, None).of(texts[:3]) == [[x] for x in model.ids(texts[:3])]
 
 
 def test_chunks_overlap_their_successor_only():
@@ -144,9 +144,9 @@ def test_alignment_equals_a_plain_one(spark, odd, odd_rows, none, sf_dir, monkey
     check_alignment(align.align_documents(df, *paths).collect(), rows, both)
     # Texts beyond LONG go chunk by chunk.
     long = [*HARD[:4], "the quick brown fox " * 2000]
-    want = both.encode(0, long), both.encode(1, long)
+    want = both.tokens(long)
     monkeypatch.setattr(align, "LONG", 100)
-    assert all((x == y).all() for mine, side in zip(want, (0, 1)) for x, y in zip(mine, both.encode(side, long)))
+    assert all((x == y).all() for mine, theirs in zip(want[:2], both.tokens(long)[:2]) for x, y in zip(mine, theirs))
 
 
 def test_pointer_jumping_finds_the_shared_ends():
