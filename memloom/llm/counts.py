@@ -33,7 +33,7 @@ from memloom.llm.flat import pieces
 from memloom.llm.vocab import Tokens, count_memory, load
 from memloom.session import cut_lineage
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 OVERLAP = 1 << 10
 GUARD = 64
 _FIELDS = ("ids", "starts", "ends", "words", "whole")
