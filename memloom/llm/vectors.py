@@ -40,6 +40,11 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, number) & F.exists(v, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component to about one: exact, and no square leaves its range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def codes(vectors: np.ndarray, number: int) -> np.ndarray:
     """The sign code of each vector in one pass; planes depend on the pass and the dimension alone."""
     planes = np.random.default_rng([number, vectors.shape[1]]).normal(size=(vectors.shape[1], CODE_BITS))
@@ -101,7 +106,7 @@ def _placed(classes: DataFrame, passes: int) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             for width in np.unique(sizes):
                 rows = batch.filter(pa.array(sizes == width))
-                x = rows.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                x = scaled(rows.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
                 for number in range(passes):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), number, np.int32)), pa.array(np.full(len(x), width, np.int32)), pa.array(codes(x, number)), *rows.columns[:3]],
@@ -153,7 +158,7 @@ def _compared(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             ids, n, place = (table[c].to_numpy() for c in ("id", "n", "place"))
             since = table["since"].fill_null(-1).to_numpy()
             size, count = table["size"][0].as_py(), len(ids)
-            x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(count, -1)
+            x = scaled(table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(count, -1))
             lows = np.flatnonzero((since >= 0) & (place % TILE == 0))
             starts = [(int(i), min(int(i) + TILE, count), int(np.searchsorted(place, since[i]))) for i in lows]
             i, j, still = grown_links(x, starts, least)

@@ -134,3 +134,17 @@ def test_vector_windows_cross_partitions(spark, partitions):
             spark.conf.set(k, value)
     assert {k: r["n_links"] for k, r in got.items()} == dict(enumerate(near.sum(1).tolist()))
     assert {k: r["component_id"] for k, r in got.items()} == want
+
+
+def test_vectors_of_any_magnitude(spark):
+    """Components near the ends of the doubles' range, null and repeated ids, clashing columns."""
+    rows = [(1, [1e200, 2e200, 1e198]), (2, [2e200, 4e200, 1e198]), (3, [1e-200, 2e-200, 1e-202]), (4, [5e-324, 0.0, 0.0]), (5, [1.7e308, 0.0, 0.0]),
+            (None, [1.0, 2.0, 0.01]), (None, None), (6, [1.0, 0.0, 1e-300]), (6, [0.0, 0.0, 3.0]), (7, [-1e200, -2e200, 0.0])]
+    df = spark.createDataFrame([(i, 0, v, 1, 2, 3, 4, 5) for i, v in rows],
+                               "vec_id long, label int, embedding array<double>, a int, b int, n int, pass int, number int").repartition(3)
+    got = sorted(((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()), key=str)
+    # The three multiples of (1, 2, 0), and the rows without an id that link with them; those along the first axis.
+    by = {i: (n, c) for i, n, c in got}
+    assert by["1"][1] == by["2"][1] == by["3"][1] == 1 and by["1"][0] >= 2
+    assert by["4"] == by["5"] and by["4"][1] == 4 and by["7"] == (0, 7)
+    assert len(got) == len(rows)
