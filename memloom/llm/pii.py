@@ -4,7 +4,8 @@ A regular expression proposes spans, a validator confirms them, and words beside
 score. Matches and the text between them come from two passes of one pattern, so a span's place is a
 running sum of lengths; texts that lack what a kind cannot do without are not searched for it.
 The patterns take possessive and guarded forms of the contract's, which match the same spans but
-neither recurse nor start again inside a run, so a very long run costs linear time.
+neither recurse nor start again inside a run, so a very long run costs linear time. Places are summed in
+chunks of hits and contexts cut from short segments of the text, so many hits in a long text cost linear time too.
 """
 
 from __future__ import annotations
@@ -97,26 +98,52 @@ def _valid(kind: str, found: Column) -> Column:
 _PART = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind, by start; null where the kind cannot occur."""
-    pattern = F.lit(PATTERNS[kind])
-    between = F.split(text, PATTERNS[kind], -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    placed = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int>>").alias("list")),
+#: Hits in a chunk of running sums, and code points in a segment of the text.
+CHUNK, SEGMENT = 256, 1024
+
+
+def _segments(text: Column) -> Column:
+    """The text cut every SEGMENT code points, in one pass: a place deep in it is then near the start of a short string."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+
+
+def _cut(segments: Column, start: Column, length: int) -> Column:
+    """`length` code points (at most SEGMENT) from `start` on, as far as the text goes; a start before 0 takes the fewer."""
+    first = F.greatest(start, F.lit(0))
+    at = F.floor(first / SEGMENT).cast("int")
+    near = F.concat(*[F.coalesce(F.try_element_at(segments, at + i), F.lit("")) for i in (1, 2)])
+    return F.substring(near, first - at * SEGMENT + 1, length - (first - start))
+
+
+_HITS = "array<struct<hit:string,start:int>>"
+
+
+def _placed(between: Column, found: Column) -> Column:
+    """(hit, start) of all matches: lengths are summed inside chunks, and the totals of the chunks before are added."""
+    pairs = F.arrays_zip(between.alias("gap"), found.alias("hit"))
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    summed = lambda chunk: F.aggregate(
+        chunk, F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("list")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
+            (acc["at"] + length(x)).alias("at"),
             F.when(x["hit"].isNull(), acc["list"]).otherwise(F.array_append(
-                acc["list"], F.struct(x["hit"].alias("hit"), (acc["at"] + F.length(x["gap"])).alias("start")))).alias("list")),
-        lambda acc: acc["list"])
+                acc["list"], F.struct(x["hit"].alias("hit"), (acc["at"] + F.length(x["gap"])).alias("start")))).alias("list")))
+    chunks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda i: summed(F.slice(pairs, i, CHUNK)))
+    moved = F.aggregate(
+        chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_HITS}>").alias("lists")),
+        lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.array_append(acc["lists"], F.transform(
+            c["list"], lambda h: F.struct(h["hit"].alias("hit"), (h["start"] + acc["at"]).alias("start")))).alias("lists")))
+    return F.flatten(moved["lists"])
+
+
+def _spans(text: Column, segments: Column, kind: str) -> Column:
+    """Confirmed spans of one kind, by start; null where the kind cannot occur."""
+    placed = _placed(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
     kept = F.filter(placed, lambda s: _valid(kind, s["hit"]))
 
     def scored(s: Column) -> Column:
         end = s["start"] + F.length(s["hit"])
-        around = F.lower(F.concat(
-            F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))), F.lit(" "),
-            F.substring(text, end + 1, F.lit(AFTER))))
+        around = F.lower(F.concat(_cut(segments, s["start"] - BEFORE, BEFORE), F.lit(" "), _cut(segments, end, AFTER)))
         score = F.lit(PRIOR[kind]) + F.when(around.rlike(rf"\b({NEAR[kind]})"), STEP).otherwise(0.0) \
             - F.when(around.rlike(rf"\b({AGAINST})"), STEP).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), end.alias("end"),
@@ -132,7 +159,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     may overlap. A null or empty text has an empty array; repeated rows are answered each.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = rows.select("doc_id", "text", *[_spans(F.col("text"), k).cast(_PART).alias(f"_{k}") for k in KINDS])
+    cut = rows.withColumn("_segments", _segments(F.col("text")))
+    parts = cut.select("doc_id", "text", *[_spans(F.col("text"), F.col("_segments"), k).cast(_PART).alias(f"_{k}") for k in KINDS])
     empty = F.array().cast(_PART)
     return parts.select("doc_id", "text", F.concat(*[F.coalesce(F.col(f"_{k}"), empty) for k in KINDS]).alias("pii"))
 

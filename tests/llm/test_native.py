@@ -91,3 +91,24 @@ def test_iban_ends_where_its_country_says(spark):
     got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"]
            for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: [w] if w else [] for i, w in enumerate(want)}
+
+
+def test_many_hits_in_a_long_text(spark):
+    """A contact list: places and scores as in short texts, in time that grows with the list."""
+    import time
+
+    line = "mail bob@x.example.org or 10.0.0.255 call +49 (30) 1234-567 pay 4111-1111-1111-1111 é🎉\n"
+    n = 4000
+    df = spark.createDataFrame([(1, line * n), (2, line * 3), (3, "a@b.co " * 40_000)], "doc_id long, text string")
+    pii.find_pii(df.where("doc_id = 2")).collect()
+    start = time.time()
+    got = {r["doc_id"]: r["pii"] for r in pii.find_pii(df).collect()}
+    assert time.time() - start < 120
+    assert len(got[3]) == 40_000 and (got[3][-1]["start"], got[3][-1]["end"]) == (39_999 * 7, 39_999 * 7 + 6)
+    one = [s for s in got[2] if len(line) <= s["start"] < 2 * len(line)]
+    for kind in pii.BASE_KINDS:
+        mine = [s for s in got[1] if s["kind"] == kind]
+        told = [s for s in one if s["kind"] == kind]
+        assert len(mine) == n * len(told)
+        assert [(s["start"], s["end"], s["score"]) for s in mine[len(told):-len(told)]] == [
+            (s["start"] + (k - 1) * len(line), s["end"] + (k - 1) * len(line), s["score"]) for k in range(1, n - 1) for s in told]
