@@ -29,6 +29,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
 WINDOW = 20
+#: Longer candidates are slid over in stretches of so many characters, side by side; neighbours share all but one of a window's.
+STRETCH = 4096
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: (class, whole-string pattern, least bits per character in a window of WINDOW); the first that fits counts.
 CLASSES = [
@@ -49,6 +51,12 @@ def window_entropy(candidates: list[str]) -> np.ndarray:
     """The greatest Shannon entropy (bits per character) of any window of each ASCII candidate, all at once."""
     if not candidates:
         return np.zeros(0)
+    if max(map(len, candidates)) > STRETCH:
+        step = STRETCH - WINDOW + 1
+        parts = [(n, c[at:at + STRETCH]) for n, c in enumerate(candidates) for at in range(0, max(1, len(c) - WINDOW + 1), step)]
+        best = np.full(len(candidates), -np.inf)
+        np.maximum.at(best, [n for n, _ in parts], window_entropy([part for _, part in parts]))
+        return best
     lengths = np.array([len(c) for c in candidates])
     order = np.argsort(-lengths, kind="stable")
     flat = np.frombuffer("".join(candidates[i] for i in order).encode("ascii"), np.uint8)
