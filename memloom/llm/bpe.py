@@ -3,12 +3,15 @@
 The words of a batch that were not met before lie in one flat array of symbols. Each round looks up all
 adjacent pairs at once by binary search over the sorted pair keys, and every word merges its
 lowest-ranked pair wherever it stands; words without a known pair are done. A word's encoding does not
-depend on its neighbours, so a bounded cache per task keeps the rest cheap.
+depend on its neighbours, so a bounded cache per task keeps the rest cheap. A very long word has thousands of
+different pairs, so its rounds touch only the places of their pair: links to the symbols before and after
+and the places of every waiting rank are kept, and time grows with the word and not with its square.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +26,8 @@ from pyspark.sql import types as T
 from memloom.llm.flat import pieces
 
 WORDS_KEPT = 150_000
+#: Words of so many bytes are merged each by itself.
+LONG_WORD = 512
 
 
 def byte_letters() -> list[str]:
@@ -92,8 +97,66 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; the number of merges where there is none."""
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.rank[at], len(self.rank))
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge rounds over one word, each over the places of its pair alone."""
+        n, none = len(symbols), len(self.rank)
+        symbols = np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.ones(n + 1, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            """Note the places (of left symbols) under the ranks of their pairs."""
+            rank = self.ranks(symbols[places], symbols[after[places]])
+            known = (rank < none) & (after[places] < n)
+            places, rank = places[known], rank[known]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for part, r in zip(np.split(places, cuts), rank[np.concatenate(([0], cuts))] if len(rank) else ()):
+                if int(r) not in waiting:
+                    heapq.heappush(queue, int(r))
+                waiting.setdefault(int(r), []).append(part)
+
+        wait(np.arange(n - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places]]
+            places = places[(after[places] < n) & (self.ranks(symbols[places], symbols[after[places]]) == r)]
+            if not len(places):
+                continue
+            # In a run of the same pair (aaaa) every second one merges, from the left.
+            begins = np.concatenate(([True], after[places[:-1]] != places[1:]))
+            offset = np.arange(len(places)) - np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
+            places = places[offset % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[r]
+            alive[gone] = False
+            after[places] = after[gone]
+            before[after[places]] = places
+            left = before[places]
+            wait(np.unique(np.concatenate((places, left[left >= 0]))))
+        return symbols[:n][alive[:n]]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Token ids of each word (non-empty, normalised, as the splitter leaves it)."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if long:
+            out = dict(zip((i for i, w in enumerate(words) if len(w) <= LONG_WORD), self.encode_words([w for w in words if len(w) <= LONG_WORD])))
+            for i in long:
+                data = np.frombuffer(words[i].encode("utf-8"), np.uint8)
+                out[i] = self.merge_long(np.append(self.inner[data[:-1]], self.last[data[-1]]))
+            return [out[i] for i in range(len(words))]
+        if not words:
+            return []
         raw = [w.encode("utf-8") for w in words]
         lengths = np.array([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
