@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.flat import LETTERS, flatten, mix, pieces, span_hash, word_bounds
+from memloom.session import broadcast_if_small, cut_lineage
 
 BITS = 17
 AFFIXES = [1, 2, 3, 4]
@@ -150,7 +151,7 @@ def _pair_marginals(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.
     return out, expected
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1, seed: int = 7) -> Crf:
+def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1, seed: int = 7, sequences: int = SEQUENCES) -> Crf:
     """A model from whole texts with one language each; half of the training sequences switch between two languages or texts.
 
     A sequence draws its language first and then its text, each alike often, so every language with a word is
@@ -179,7 +180,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
         return model
     first = np.cumsum(counts) - counts
     rows, truth = [], []
-    for i in range(SEQUENCES):
+    for i in range(sequences):
         cut = int(rng.integers(4, LENGTH - 4)) if i % 2 else LENGTH
         row, gold = [], []
         for n in (cut, LENGTH - cut):
@@ -192,7 +193,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
                 n -= size
         rows.append(np.concatenate(row))
         truth.append(np.concatenate(gold))
-    rows, truth = np.stack(rows, 1), np.stack(truth, 1)  # (LENGTH, SEQUENCES)
+    rows, truth = np.stack(rows, 1), np.stack(truth, 1)  # (LENGTH, sequences)
     used, at = np.unique(rows, return_inverse=True)
     at = at.reshape(rows.shape)
     ids, bounds = model.features(data, starts[used], ends[used], hashes[used])
@@ -209,8 +210,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
         off = (gold - marginal).reshape(-1, k)
         flat = at.ravel()
         per_word = np.stack([np.bincount(flat, weights=off[:, i], minlength=len(used)) for i in range(k)], 1)
-        grad = np.stack([np.bincount(dense, weights=per_word[owner, i], minlength=len(known)) for i in range(k)], 1) / SEQUENCES - 1e-4 * theta
-        turn = (moved - expected) / SEQUENCES - 1e-4 * move
+        grad = np.stack([np.bincount(dense, weights=per_word[owner, i], minlength=len(known)) for i in range(k)], 1) / sequences - 1e-4 * theta
+        turn = (moved - expected) / sequences - 1e-4 * move
         for value, g, square in ((theta, grad, squares[0]), (move, turn, squares[1])):
             square += g * g
             value += rate * g / np.sqrt(square)
@@ -219,16 +220,22 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.1
     return model
 
 
-def train(docs: DataFrame, learn: Column | None = None, seed: int = 0) -> Crf:
-    """A model from text and lang of the rows of `learn`; at most about MOST_TEXTS texts per language reach the driver."""
+def train(docs: DataFrame, learn: Column | None = None, seed: int = 0, most_texts: int = MOST_TEXTS, sequences: int = SEQUENCES) -> Crf:
+    """A model from text and lang of the rows of `learn`; at most `most_texts` different texts per language reach the driver.
+
+    They are those with the smallest hashes of their text, so reruns and repeated rows change nothing.
+    """
     known = docs.where((learn if learn is not None else F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    drawn = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        bar = int(min(1.0, MOST_TEXTS / n) * (1 << 30))
-        drawn = drawn | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < bar))
-    got = known.where(drawn).select("text", "lang").limit(2 * MOST_TEXTS * max(1, len(sizes))).toArrow()
-    return fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    hashed = known.select("lang", "text", F.xxhash64(F.lit(seed), "text").alias("_h"))
+    # About twice as many as wanted pass a bar of the language's own, before anything is shuffled.
+    bars = cut_lineage(hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * most_texts) / F.count("*")).alias("_share")), "languages")
+    bars = broadcast_if_small(bars, bars.count(), 256)
+    place = F.pmod(F.col("_h"), F.lit(1 << 30))
+    drawn = hashed.join(bars, "lang").where(place < F.col("_share") * (1 << 30))
+    different = drawn.groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(place, "_h")
+    got = different.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most_texts).orderBy("lang", "_n").select("text", "lang").toArrow()
+    return fit(got["text"].to_pylist(), got["lang"].to_pylist(), sequences=sequences)
 
 
 def predict(docs: DataFrame, model: Crf) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.columns import set_aside
 from memloom.llm.flat import LETTERS, flatten, pieces, span_hash, word_bounds
+from memloom.session import cut_lineage
 
 BITS = 18
 PREFIXES = [4, 5]
@@ -90,22 +91,32 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return weights, float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, seed: int = 0) -> tuple[np.ndarray, float]:
+def train(
+    docs: DataFrame, labels: DataFrame, learn: Column | None = None, seed: int = 0, most_positive: int = MOST_POSITIVE,
+    most_unlabelled: int = MOST_UNLABELLED,
+) -> tuple[np.ndarray, float]:
     """A model from labels.toxic and unlabelled documents among the rows of `learn` (default: all).
 
     The prior is the share of toxic rows among all labelled ones. The driver gets the feature sets of at
-    most MOST_POSITIVE + MOST_UNLABELLED texts, whatever the tables hold.
+    most `most_positive` confirmed and `most_unlabelled` other texts, whatever the tables hold: different texts with the
+    smallest hashes, so reruns and repeated rows change nothing.
     """
     learn = learn if learn is not None else F.lit(True)
     marked = labels.where(learn).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     tally = marked.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    positives = [r[0] for r in marked.where("toxic = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MOST_POSITIVE).select("doc_id").collect()]
+    positives = [r[0] for r in marked.where("toxic = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_positive).select("doc_id").collect()]
     prior = (tally["t"] or 0) / tally["n"] if tally["n"] else 0.0
     rows = docs.where(learn).select("doc_id").count()
-    share = min(1.0, MOST_UNLABELLED / max(rows, 1))
-    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    # Half as many again as wanted, for rows may repeat.
+    share = min(1.0, 1.5 * most_unlabelled / max(rows, 1))
+    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
     confirmed = F.coalesce(F.col("doc_id").isin(positives), F.lit(False)) if positives else F.lit(False)
     sample = docs.where(learn & (confirmed | drawn)).select("text", confirmed.alias("confirmed"), drawn.alias("drawn"))
+    different = cut_lineage(sample.groupBy(F.xxhash64(F.lit(seed), "text").alias("_h")).agg(
+        F.first("text").alias("text"), F.max("confirmed").alias("confirmed"), F.max("drawn").alias("drawn")), "toxicity-sample")
+    some = lambda side, most: different.where(side).orderBy("_h").limit(most).select(
+        "text", F.lit(side == "confirmed").alias("confirmed"), F.lit(side == "drawn").alias("drawn"), "_h")
+    sample = some("confirmed", most_positive).unionByName(some("drawn", most_unlabelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, seed:
                 owner, ids = _distinct(*_features(piece.column(0)))
                 split = np.searchsorted(owner, np.arange(piece.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(split, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), lists], ["confirmed", "drawn", "features"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], lists], ["confirmed", "drawn", "_h", "features"])
 
-    got = sample.mapInArrow(run, "confirmed boolean, drawn boolean, features array<int>").limit(MOST_POSITIVE + 2 * MOST_UNLABELLED).toArrow()
+    got = sample.mapInArrow(run, "confirmed boolean, drawn boolean, _h long, features array<int>").toArrow().sort_by([("_h", "ascending"), ("confirmed", "ascending")])
     sides: tuple[list, list] = ([], [])
     seen: tuple[set, set] = (set(), set())
     for is_positive, is_drawn, ids in zip(got["confirmed"].to_pylist(), got["drawn"].to_pylist(), got["features"]):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from memloom.llm import language, toxicity
 from memloom.llm.queries import QUERIES
@@ -96,3 +97,18 @@ def test_toxicity_of_odd_rows(spark, odd, odd_rows, none):
     assert toxicity.toxicity_report(none, labels).collect() == []
     kept = toxicity.reject_toxic(odd, labels.where("false"))
     assert kept.columns == odd.columns and kept.count() == len(odd_rows)
+
+
+def test_samples_do_not_depend_on_repeats_or_order(spark, sf_dir):
+    """Rows that share a doc_id, repeated rows and another order of the table: the same texts teach."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    again = docs.unionByName(docs.where("doc_id % 3 = 0")).repartition(7)
+    one, two = (language.train(d, most_texts=20, sequences=200) for d in (docs, again))
+    assert one.languages == two.languages and (one.move == two.move).all()
+    assert sorted(one.words.tolist()) == sorted(two.words.tolist())
+    models = [toxicity.train(d, labels, most_positive=10, most_unlabelled=40) for d in (docs, docs.repartition(7))]
+    assert (models[0][0] == models[1][0]).all() and models[0][1] == models[1][1]
+    # A dirty column of languages is a table like any other.
+    many = docs.withColumn("lang", F.concat("lang", F.col("doc_id")))
+    assert len(language.train(many.limit(60), most_texts=2, sequences=50).languages) > 20
