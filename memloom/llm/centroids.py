@@ -248,13 +248,12 @@ def cluster_vectors(table: DataFrame, k: int = 16, rounds: int = 3, dims: int =
     kind = table.schema["vec_id"].dataType.simpleString()
     assigned = cut_lineage(table.select("vec_id", F.col("embedding").alias("v")).mapInArrow(
         run, f"vec_id {kind}, cluster int, distance long"), "clusters")
-    # A sum over a missing distance is beyond long itself.
+    # A sum over a missing distance is beyond long itself. At most k rows reach the driver.
     total = F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(20,0)")))
-    fits = lambda x: F.when(x <= (1 << 63) - 1, x.cast("long"))
-    by_cluster = assigned.groupBy("cluster").agg(total.alias("t")).select("cluster", fits(F.col("t")).alias("cluster_inertia"))
-    overall = assigned.agg(total.alias("t")).select(fits(F.col("t")).alias("inertia"))
-    hashes = spark.createDataFrame([(c, hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(centroids)],
-                                   "cluster int, centroid_sha256 string")
-    # k rows and one row: proven bounds.
-    named = by_cluster.join(F.broadcast(hashes), "cluster").join(F.broadcast(overall))
+    sums = {r["cluster"]: None if r["t"] is None else int(r["t"]) for r in assigned.groupBy("cluster").agg(total.alias("t")).collect()}
+    inertia = None if None in sums.values() else sum(sums.values())
+    fits = lambda x: None if x is None or x >= 1 << 63 else x
+    sha = lambda v: hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()
+    named = spark.createDataFrame([(c, fits(s), fits(inertia), sha(centroids[c])) for c, s in sums.items()],
+                                  "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return assigned.join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
