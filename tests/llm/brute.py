@@ -91,3 +91,63 @@ def targets(sizes):
 
 def crc(doc_id, mod):
     return zlib.crc32(str(doc_id).encode()) % mod
+
+
+def scramble(x):
+    """The splitmix64 finaliser on whole numbers."""
+    mask = (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return x ^ (x >> 31)
+
+
+def window_bins(data, window=64, bins=1000, scale=1024):
+    """Entropy bin of every window, counted anew for each; c * log2(c) in steps of 1 / scale, as the operator has it."""
+    from collections import Counter
+    from math import log2
+
+    part = [round(c * log2(c) * scale) if c else 0 for c in range(window + 1)]
+    return [round(bins * (1 - sum(part[c] for c in Counter(data[i:i + window]).values()) / (window * log2(window) * scale)))
+            for i in range(len(data) - window + 1)]
+
+
+def rare_features(data, bins, ranks, window=64, dull=100, popular=16):
+    """64-bit hashes of a text's features in order: rarest windows of their surroundings, often enough so."""
+    if not data:
+        return []
+    if len(data) < window:
+        return [int.from_bytes(hashlib.sha256(data).digest()[:8], "little")]
+    rank = [ranks[b] if b >= dull else len(ranks) + 1 for b in bins]
+    picks = [min(range(s, min(s + window, len(rank))), key=lambda t: (rank[t], t)) for s in range(len(rank))]
+    places, run = [], 0
+    for s, pick in enumerate(picks):
+        run = run + 1 if s and picks[s - 1] == pick else 1
+        if run == popular and rank[pick] <= len(ranks):
+            places.append(pick)
+    if not places:
+        places = [min(range(len(rank)), key=lambda t: rank[t])]
+    out = []
+    for p in places:
+        h = 0
+        for i in range(0, window, 8):
+            h = scramble(h ^ int.from_bytes(data[p + i:p + i + 8], "little"))
+        if h not in out:
+            out.append(h)
+    return out
+
+
+def chain(hashes, bits=2048, count=5, most=160):
+    """Bloom filters as sets of set bits."""
+    return [{(h >> (11 * i)) & (bits - 1) for h in hashes[at:at + most] for i in range(count)} for at in range(0, len(hashes), most)]
+
+
+def chain_likeness(a, b, bits=2048):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b) or (len(a) == len(b) and sum(map(len, a)) > sum(map(len, b))):
+        a, b = b, a
+    best = []
+    for x in a:
+        over = [(len(x & y) - len(x) * len(y) / bits) / max(min(len(x), len(y)) - len(x) * len(y) / bits, 1e-9) for y in b]
+        best.append(min(1.0, max(0.0, max(over))))
+    return sum(best) / len(best)

@@ -28,6 +28,26 @@ def test_window_entropy_is_that_of_the_best_window():
         assert secrets.window_entropy([text, "zz" * 15])[0] == pytest.approx(want)
 
 
+def test_stretches_do_not_show():
+    rng = np.random.default_rng(8)
+    text = "".join(map(chr, rng.integers(97, 100, 9000))) + "abcdefghijklmnopqrst" + "".join(map(chr, rng.integers(97, 100, 3000)))
+    w = secrets.WINDOW
+    want = max(-sum(c / w * math.log2(c / w) for c in Counter(text[i:i + w]).values()) for i in range(len(text) - w + 1))
+    for t in (text, text[:secrets.STRETCH], text[:secrets.STRETCH + 1], text[9000 - secrets.STRETCH + 10:]):
+        told = secrets.window_entropy([t, "zz" * 15])
+        assert told[0] == pytest.approx(want if "abcdefghijklmnopqrst" in t else max(
+            -sum(c / w * math.log2(c / w) for c in Counter(t[i:i + w]).values()) for i in range(len(t) - w + 1)))
+
+
+def test_a_very_long_key_takes_seconds():
+    import time
+
+    key = hashlib.sha256(b"1").hexdigest() * 50_000
+    start = time.process_time()
+    assert secrets.find_spans(["token " + key.upper()[:2_000_000] + "Aa1"])[0][-1][0] == "entropy"
+    assert time.process_time() - start < 30
+
+
 def test_added_spans_and_allow_list():
     kinds = lambda t: [k for k, _, _ in secrets.find_spans([t])[0]]
     assert kinds("x dGhpc0lzQVNlY3JldEtleTk4NzY1NDMyMQ y") == ["entropy"]
@@ -66,6 +86,22 @@ def test_tokens_equal_the_library(spark, odd, odd_rows, none, sf_dir):
         assert [int(i) for w in words for i in w[1].split()] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_words(spark):
+    """Words of many kilobytes: the ids of the library, in time that grows with the word."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(tokenizer_path()), bpe.loaded(tokenizer_path())
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in (513, 3000, 40_000)] + ["a" * 5001, "ab" * 3000, "日本語" * 900, "é" * 700, "the" * 1500]
+    for text in (*words, " ".join(words)):
+        assert [int(i) for told in next(model.encode([text])) for i in told[1].split()] == library.encode(text, add_special_tokens=False).ids
+    start = time.process_time()
+    model.merge_long(model.inner[rng.integers(97, 123, 1_000_000)])
+    assert time.process_time() - start < 60
+
+
 def test_encode_then_decode(spark, odd, none):
     path = tokenizer_path()
     encoded = bpe.encode_documents(odd, path)
@@ -113,6 +149,25 @@ def test_mixed_rows_keep_their_columns(spark, odd):
     assert words == sum(r["taken"] for r in mixing.mix_report(odd).collect())
 
 
+def test_repeated_rows_meet_their_target(spark):
+    """Rows that share a doc_id, a text or both, and null ids: the target is met within one row."""
+    text = lambda n: "word " * (n % 7 + 1)
+    cases = {"same": [(1, "one two three four")] * 1000, "ids": [(1, text(n)) for n in range(700)], "null": [(None, text(n)) for n in range(700)],
+             "poor": [(n, "1 2 3 4 5 ###") for n in range(700)]}
+    rows = [(i, t, s) for s, some in cases.items() for i, t in some] + [(n, "other words here " * 9, "rest") for n in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for s, told in mixing.mix(docs).groupBy("source").agg({"text": "count"}).collect():
+        assert told > 0
+    sizes, targets = defaultdict(int), {}
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, report = brute.targets(sizes), mixing.mix_report(docs)
+    by = {(r["source_size"], round(r["target"], 6)): r["taken"] for r in report.groupBy("source_size", "target").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    for s, words in sizes.items():
+        assert abs(by[words, round(want[s], 6)] - want[s]) <= 27
+    assert sorted(map(str, report.collect())) == sorted(map(str, mixing.mix_report(docs.repartition(3)).collect()))
+
+
 def test_better_documents_come_first(spark):
     docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "1 2 3 ## ") * 5, "ab"[i % 6 > 3]) for i in range(900)], "doc_id long, text string, source string")
     taken = Counter()
@@ -158,6 +213,31 @@ def test_fingerprints(spark, odd, odd_rows, none, sf_dir):
     assert [r["fingerprint"] for r in mine if r["n_chars"] == 0] == [""] * sum(not r[1] for r in odd_rows)
 
 
+def test_fingerprints_equal_brute_force(spark, odd_rows):
+    """Features, chains and likeness of every row against loops over single windows; ranks from all windows of the table."""
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500").orderBy("doc_id").limit(40)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10_000 + n, t) for n, (_, t, *_) in enumerate(odd_rows) if len(t or "") < 1500]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    data = {i: (t or "").encode() for i, t in rows}
+    bins = {i: brute.window_bins(x) for i, x in data.items()}
+    seen = Counter(b for some in bins.values() for b in some)
+    ranks = [0] * (fingerprint.BINS + 1)
+    for n, b in enumerate(sorted(range(fingerprint.BINS + 1), key=lambda b: (seen[b], b))):
+        ranks[b] = n
+    chain = lambda x: brute.chain(brute.rare_features(x, brute.window_bins(x), ranks))
+    text = lambda c: base64.b64encode(b"".join(np.packbits([i in bits for i in range(fingerprint.BITS)]).tobytes() for bits in c)).decode()
+    order = sorted(data, reverse=True)
+    for i, after in zip(order, order[1:] + order[:1]):
+        own, following = dict(rows)[i] or "", dict(rows)[after] or ""
+        edited = own[:len(own) - len(own) // 2] + following[:len(own) // 2]
+        mine, next_one, other = chain(data[i]), chain(data[after]), chain(edited.encode())
+        assert got[i]["fingerprint"] == text(mine) and got[i]["edited_fingerprint"] == text(other)
+        assert got[i]["near_next"] == pytest.approx(brute.chain_likeness(mine, next_one), abs=1e-6)
+        assert got[i]["near_edited"] == pytest.approx(brute.chain_likeness(mine, other), abs=1e-6)
+
+
 def test_a_lone_row_is_its_own_next(spark):
     one = fingerprint.fingerprint_documents(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one["near_next"] == 1.0
