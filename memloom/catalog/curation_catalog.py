@@ -46,7 +46,8 @@ u AS (SELECT content_hash, -1 AS o, item_id, type, source, confidence, updated_a
 SELECT content_hash, arg_min(item_id, o) AS item_id, arg_min(type, o) AS type, arg_max(source, o) AS source, max(confidence) AS confidence,
  CASE WHEN max(o) >= 0 THEN '{v.NOW}' ELSE {v.ts('arg_min(updated_at, o)')} END AS updated_at FROM u GROUP BY 1""")
 def sink_upsert_items(spark, d):
-    hashed = v.flat_items(spark, d).withColumn("content_hash", hash_of_content(T("content")))
+    hashed = v.flat_items(spark, d).withColumns({
+        "content_hash": hash_of_content(T("content")), "embedding_model": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<float>")})
     held = PartStore(spark, scratch_path(spark, "store"))
     held.commit({"items": Change(ops.exact_dedupe(hashed.where(T("conversation_id").isNull()), "seq").drop("seq"))})
     held.upsert_items(hashed.where(T("conversation_id").isNotNull()), v.now())

@@ -194,11 +194,36 @@ _DOC_PATHS = """f AS (SELECT doc_id, n_chars, (['docs/adr/', 'docs/', 'src/', '.
  || 'd' || doc_id || '/' || (['README.md', 'ARCHITECTURE.md', 'adr-12-x.mdx', 'contributing.md', 'notes.md', 'CLAUDE.md', 'index.txt'])[doc_id % 7 + 1] AS path FROM documents)"""
 
 
-@query("scan_doc_tree", f"WITH {_DOC_PATHS} SELECT path, n_chars AS length FROM f WHERE lower(path) SIMILAR TO '.*\\.mdx?' AND path NOT LIKE '%node_modules/%' AND n_chars <= 12000")
-def scan_doc_tree(spark, d):
+@query("keep_doc_files", f"WITH {_DOC_PATHS} SELECT path, n_chars AS length FROM f WHERE lower(path) SIMILAR TO '.*\\.mdx?' AND path NOT LIKE '%node_modules/%' AND n_chars <= 12000")
+def keep_doc_files(spark, d):
     return docs.keep_doc_files(doc_files(spark, d).select("path", "length"), 12000)
 
 
+_TREE = ["docs/adr", ".claude/docs", "docs/.github", "src", "node_modules/x", ".hidden", "docs/guide", "rfcs"]
+
+
+def doc_tree(spark, d):
+    """A tree of markdown files below a fresh folder: each holds some of the documents, line by line."""
+    root = scratch_path(spark, "tree")
+    held = v.table(spark, d, "documents").select((T("doc_id") % 8).alias("folder"), (T("doc_id") % 50).alias("d"),
+                                                 F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    held = held.repartition("folder", "d").persist()
+    for i, folder in enumerate(_TREE):
+        # Plain lines: nothing is quoted, trimmed or left out.
+        held.where(T("folder") == i).select("d", "line").write.partitionBy("d").options(
+            extension="mdx", quote="\x00", sep="\x01", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        ).csv(f"{root}/{folder}")
+    held.unpersist()
+    return root
+
+
+@query("scan_doc_tree", f"""WITH t AS (SELECT ({_TREE})[doc_id % 8 + 1] || '/d=' || (doc_id % 50) AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length FROM documents GROUP BY 1)
+SELECT folder, length FROM t WHERE folder NOT LIKE 'node_modules/%' AND folder NOT LIKE '.hidden/%' AND length <= 100000""")
+def scan_doc_tree(spark, d):
+    found = docs.read_docs(spark, doc_tree(spark, d), 100_000)
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.octet_length("content").cast("long").alias("length"))
+
+
 @query("path_classify", f"""WITH {_DOC_PATHS}, l AS (SELECT path, lower(path) AS p FROM f),
 c AS (SELECT path, CASE WHEN regexp_matches(p, '(^|/)(docs?/)?(adrs?|decisions?|rfcs?)/') THEN 'decision/adr'
  WHEN regexp_matches(p, '(^|/)(adr|rfc)[-_]?\\d+.*\\.mdx?$') THEN 'decision/adr'

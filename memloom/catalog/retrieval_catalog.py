@@ -480,7 +480,25 @@ def search_text_report(spark, d):
     return reports.search_text_report(plans.hybrid_search(v.queries(spark, d), store(spark, d), v.now()))
 
 
-@query("graph_text_report")
+_BLOCK = "CASE WHEN len(coalesce({0}, [])) = 0 THEN '  (none)' ELSE array_to_string({0}, chr(10)) END"
+
+
+@query("graph_text_report", f"""WITH {_EXPLORE}, cuts AS (SELECT query_id, bool_or(cut) AS cut FROM s1 GROUP BY 1),
+named AS (SELECT o.query_id, o.entity_id, e.name FROM owned o JOIN entities e ON e.entity_id = o.entity_id),
+ents AS (SELECT query_id, list(name ORDER BY name) AS ents FROM named GROUP BY 1),
+rel AS (SELECT DISTINCT a.query_id, r.rel_id, '  ' || a.name || ' --' || r.type || '--> ' || b.name AS line FROM relations r
+ JOIN named a ON a.entity_id = r.from_entity JOIN named b ON b.query_id = a.query_id AND b.entity_id = r.to_entity),
+rels AS (SELECT query_id, list(line ORDER BY line) AS rels FROM rel GROUP BY 1),
+att AS (SELECT o.query_id, l.item_id, row_number() OVER (PARTITION BY o.query_id ORDER BY i.updated_at DESC, l.item_id, l.entity_id) AS n FROM owned o
+ JOIN links l ON l.entity_id = o.entity_id JOIN requests q ON q.query_id = o.query_id JOIN items i ON i.item_id = l.item_id AND {v.IN_SCOPE} WHERE i.superseded_by IS NULL QUALIFY n <= 100),
+held AS (SELECT DISTINCT a.query_id, '  [' || i.item_id || '] (' || i.type || ') ' || left(i.content, 300) AS line FROM att a JOIN items i ON i.item_id = a.item_id),
+memo AS (SELECT query_id, list(line ORDER BY line) AS memo FROM held GROUP BY 1)
+SELECT q.query_id, CASE WHEN e.entity_id IS NULL THEN '"' || q.name || '": no such entity' ELSE 'Entity: ' || e.name || ' (' || e.kind || '), depth 1' || chr(10)
+ || 'Connected entities (' || len(ents) || '): ' || array_to_string(ents, ', ') || chr(10) || chr(10) || 'Relations (' || len(coalesce(rels, [])) || '):' || chr(10) || {_BLOCK.format('rels')}
+ || chr(10) || chr(10) || 'Attached memories (' || len(coalesce(memo, [])) || '):' || chr(10) || {_BLOCK.format('memo')} || chr(10)
+ || CASE WHEN cut THEN chr(10) || '(more entities exist than are listed)' ELSE '' END END AS report
+FROM requests q LEFT JOIN roots r ON r.query_id = q.query_id LEFT JOIN entities e ON e.entity_id = r.entity_id LEFT JOIN ents ON ents.query_id = q.query_id
+LEFT JOIN rels ON rels.query_id = q.query_id LEFT JOIN memo ON memo.query_id = q.query_id LEFT JOIN cuts ON cuts.query_id = q.query_id""")
 def graph_text_report(spark, d):
     req = _requests(spark, d)
     found = graph.graph_explore(req, v.items(spark, d), v.entities(spark, d), v.relations(spark, d), v.links(spark, d))

@@ -222,9 +222,84 @@ def usage_rollup(parsed: DataFrame) -> DataFrame:
     return totals.groupBy(*KEY).agg(*[last(c) for c in ("input_tokens", "output_tokens", "cost_usd", "stop_reason", "session_id")])
 
 
+_MEMORY, _OTHER = "mcp__memory__memory_search", "other"
+
+#: One fact of a line: an event that is complete, or one that the lines before it complete.
+FACT = {
+    "fact": "string", "idx": "bigint", "text": "string", "tool_id": "string", "name": "string", "input": "string", "ok": "boolean", "summary": "string",
+    "memory_summary": "string", "citations": COLUMNS["citations"], "message": "string", "session_id": "string", "said": "boolean", "add_in": "bigint",
+    "add_out": "bigint", "told_in": "bigint", "told_out": "bigint", "cost_usd": "double", "stop_reason": "string",
+}
+
+
+def _fact(**values: Column) -> Column:
+    return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in FACT.items()])
+
+
+def line_facts() -> Column:
+    """array of facts of one parsed line, in order of idx; the line itself comes first."""
+    kind, failed = F.col("e.type"), F.coalesce("e.is_error", F.lit(False))
+    used = lambda name: F.when(kind == "assistant", F.coalesce(f"e.message.usage.{name}", F.lit(0))).otherwise(0)
+    told = lambda name: F.when(kind == "result", F.col(f"e.usage.{name}"))
+    end = F.when(kind == "result", F.when(failed, "failed").otherwise("done"))
+    line = _fact(
+        fact=F.coalesce(end, F.when(is_init(), "init"), F.lit("line")), idx=F.lit(-1), text=F.when(kind == "result", F.col("e.result")),
+        session_id=F.col("e.session_id"), said=has_text(), add_in=used("input_tokens"), add_out=used("output_tokens"),
+        told_in=told("input_tokens"), told_out=told("output_tokens"), cost_usd=F.when(kind == "result", F.col("e.total_cost_usd")),
+        stop_reason=F.when(kind == "assistant", F.nullif(F.col("e.message.stop_reason"), F.lit(""))))
+    texts = F.transform(texts_of_line(), lambda t: _fact(fact=F.lit("text"), idx=t["idx"], text=t["text"]))
+    starts = F.transform(starts_of_line(), lambda t: _fact(fact=F.lit("start"), idx=t["idx"], tool_id=t["tool_id"], name=t["name"], input=t["input"]))
+    summary = lambda t, name: F.when(t["ok"], summarize_tool_text(F.lit(name), t["body"])).otherwise(F.left(t["body"], F.lit(200)))
+    results = F.transform(results_of_line(), lambda t: _fact(
+        fact=F.lit("tool"), idx=t["idx"], tool_id=t["tool_id"], ok=t["ok"], summary=summary(t, _OTHER), memory_summary=summary(t, _MEMORY),
+        citations=F.when(t["ok"], parse_citations(t["body"]))))
+    faults = F.transform(F.when(is_init(), init_faults()), lambda m, i: _fact(fact=F.lit("fault"), idx=i, message=m))
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in FACT.items()) + ">>")
+    return F.concat(F.array(line), *[F.coalesce(x, none) for x in (faults, texts, starts, results)])
+
+
+def _event(idx: Column, **values: Column) -> Column:
+    return F.struct(idx.cast("long").alias("at"), *[values.get(c, F.lit(None)).cast(t).alias(f"_{c}") for c, t in COLUMNS.items()])
+
+
 def translate_lines(raw: DataFrame) -> DataFrame:
-    """All typed events of all turns; order within a turn is (seq, idx)."""
-    parsed = parse_lines(raw)
-    parts = [stream_init_errors(parsed), translate_delta(parsed), translate_tool_start(parsed),
-             translate_tool_result(parsed), stream_result_event(parsed)]
-    return reduce(DataFrame.unionByName, parts)
+    """All typed events of all turns; order within a turn is (seq, idx).
+
+    Lines are read and parsed once. One shuffle brings a turn's facts together, and windows over it give each
+    what the lines before it decide.
+    """
+    facts = parse_lines(raw).select(*KEY, "seq", F.inline(line_facts()))
+    order = Window.partitionBy(*KEY).orderBy("seq", "idx")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    same_tool = Window.partitionBy(*KEY, "tool_id").orderBy("seq", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.col("fact")
+    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    known = facts.withColumns({
+        "_session": last("session_id", so_far), "_cost": last("cost_usd", so_far), "_stop": last("stop_reason", so_far),
+        "_spoken": F.coalesce(F.max("said").over(before), F.lit(False)),
+        "_first": F.min(F.when(kind == "init", F.col("seq"))).over(Window.partitionBy(*KEY)),
+        "_in": F.sum("add_in").over(so_far), "_out": F.sum("add_out").over(so_far),
+        "_called": F.coalesce(last(F.when(kind == "start", F.col("name")), same_tool), F.lit("unknown")),
+    })
+    # A result's own usage replaces the sum so far; later messages add to it again.
+    total = lambda n: F.col(f"_{n}") + F.coalesce(last(F.col(f"told_{n}") - F.col(f"_{n}"), so_far), F.lit(0))
+    known = known.withColumns({"_total_in": total("in"), "_total_out": total("out")})
+    memory, has = is_memory_tool(F.col("_called")), F.length("text") > 0
+    idx, fault = F.col("idx"), lambda code: {"type": F.lit("error"), "code": F.lit(code), "retryable": retryable(F.lit(code))}
+    main = (
+        F.when((kind == "fault") & (F.col("seq") == F.col("_first")), _event(idx, message=F.col("message"), **fault("upstream_failed")))
+        .when(kind == "text", _event(idx, type=F.lit("message.delta"), text=F.col("text")))
+        .when(kind == "start", _event(idx, type=F.lit("tool.start"), tool_id=F.col("tool_id"), name=F.col("name"), input=F.col("input")))
+        .when(kind == "tool", _event(idx, type=F.lit("tool.result"), tool_id=F.col("tool_id"), name=F.col("_called"), ok=F.col("ok"),
+                                     summary=F.when(memory, F.col("memory_summary")).otherwise(F.col("summary"))))
+        .when(kind == "failed", _event(F.lit(0), message=F.coalesce("text", F.lit(NO_REASON)), **fault("runner_failed")))
+        .when(kind == "done", _event(F.lit(1), type=F.lit("message.done"), session_id=F.col("_session"), input_tokens=F.col("_total_in"),
+                                     output_tokens=F.col("_total_out"), cost_usd=F.col("_cost"), stop_reason=F.col("_stop")))
+    )
+    more = (
+        F.when((kind == "tool") & memory & F.col("ok") & (F.size("citations") > 0),
+               _event(idx + 1, type=F.lit("citation"), tool_id=F.col("tool_id"), citations=F.col("citations")))
+        .when((kind == "done") & ~F.col("_spoken") & has, _event(F.lit(0), type=F.lit("message.delta"), text=F.col("text")))
+    )
+    told = known.select(*KEY, "seq", F.inline(F.array_compact(F.array(main, more))))
+    return told.select(*KEY, "seq", F.col("at").alias("idx"), *[F.col(f"_{c}").alias(c) for c in COLUMNS])

@@ -92,7 +92,7 @@ def stream_spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD, del
     The alert follows once the watermark has passed that turn. Turns older than the watermark are left out.
     """
     keep_state_in_rocksdb(usage.sparkSession)
-    turns = usage.withWatermark("ts", delay).select(
+    turns = usage.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(
         "conversation_id", F.col("seq").cast("long").alias("seq"), "ts", F.unix_micros("ts").alias("at"),
         F.coalesce(F.col("cost_usd").cast("double"), F.lit(0.0)).alias("cost"))
     return turns.groupBy("conversation_id").transformWithStateInPandas(CeilingWatch(ceiling), ALERT, "Append", "EventTime")
