@@ -18,6 +18,10 @@ import numpy as np
 from memloom.llm.bpe import byte_letters
 
 
+# Fixed value: the pre-tokens that a vocabulary file means by `ByteLevel` with `use_regex`.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @dataclass
 class Tokens:
     """Tokens of one text: ids, first and end code point, pre-token; `whole` is false where a character is split."""
@@ -55,8 +59,28 @@ class JsonVocabulary:
         self.gap = re.compile(r"(?<=\S)(?= \S)") if spaced else None
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
+        self.ranked = self._ranked(spec) if plain else None
+
+    def _ranked(self, spec: dict):
+        """The same encoding by ranks, several times as fast, where the file is no more than merges of bytes in order of their ids."""
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        names, letters = model["vocab"], byte_letters()
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = (model["type"] == "BPE" and not any(model.get(k) for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
+            and all(names.get(c, 256) < 256 for c in letters) and all(names.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)))
+        if not plain:
+            return None
+        import tiktoken
+
+        added = set(self.library.get_added_tokens_decoder())
+        ranks = {b: i for i, b in enumerate(self.token_bytes()) if i not in added}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def tokens(self, text: str) -> Tokens:

@@ -48,6 +48,18 @@ def test_stretches_equal_the_whole_encoding(name, plain, monkeypatch):
     assert vocab.Memory(model.ids, None).of(texts[:3]) == [[x] for x in model.ids(texts[:3])]
 
 
+def test_ranks_equal_the_json_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(path("byte_bpe_50k.json")), vocab.load(path("byte_bpe_50k.json"), True)
+    library.encode_special_tokens = True
+    rng = random.Random(4)
+    odd = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0xd7ff), rng.randrange(0x10000, 0x20000), 10, 32, 32])) for _ in range(40)) for _ in range(4000)]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").collect()] + odd + HARD + noise(50, 300, 6)
+    assert model.ranked and vocab.load(path("word_bpe_49k.json"), True).ranked is None
+    assert model.ids(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_chunks_overlap_their_successor_only():
     for text in [*HARD, *noise(5, 2000, 3)]:
         spans = counts.cut_text(text, 300, 150)
