@@ -109,7 +109,8 @@ def type_filter(spark, d):
 @query("embedded_filter", f"WITH {v.ITEMS} SELECT item_id FROM items WHERE len({v.tokens('content')}) > 0")
 def embedded_filter(spark, d):
     some = v.embedded(spark, d)
-    known = F.when(F.exists("embedding", lambda x: x != 0), T("embedding"))
+    # A text with tokens is embedded even where they cancel to a vector of zeros.
+    known = F.when(F.size(text.tokenize(T("content"))) > 0, T("embedding"))
     return ops.embedded_filter(some.withColumn("embedding", known)).select("item_id")
 
 
