@@ -13,6 +13,8 @@ from memloom.operators.conversations import COST_CEILING_USD
 from memloom.session import keep_state_in_rocksdb
 
 WATERMARK = "10 minutes"
+#: Entries of the state that hold a conversation's waiting turns.
+BUCKETS = 64
 ALERT = "conversation_id string, ts timestamp, seq bigint, running double"
 
 
@@ -39,12 +41,24 @@ def spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD) -> DataFra
     )
 
 
+def least_seq_from(alerts: DataFrame, usage: DataFrame) -> DataFrame:
+    """(conversation_id, alert_seq, running): the least seq of the alert's turn and those after it in time.
+
+    Costs are not negative, so these are the turns at which the running sum is at the ceiling or above it.
+    """
+    told = alerts.select("conversation_id", F.col("ts").cast("timestamp").alias("_ts"), F.col("seq").cast("long").alias("_seq"), "running")
+    after = usage.select("conversation_id", "ts", "seq").join(told, "conversation_id").where(
+        F.struct(F.col("ts").cast("timestamp").alias("_ts"), F.col("seq").cast("long").alias("_seq")) >= F.struct("_ts", "_seq"))
+    return after.groupBy("conversation_id").agg(F.min("seq").alias("alert_seq"), F.min("running").alias("running"))
+
+
 class CeilingWatch(StatefulProcessor):
     """One conversation: turns that the watermark has not passed yet, what was spent before them, and whether it was told.
 
     Turns count in order of time once the watermark has passed them, so the alert names the same turn however
     they arrive. A turn that comes again while it waits replaces itself; later it is older than the
-    watermark and Spark leaves it out. After the alert nothing but the mark of it is kept.
+    watermark and Spark leaves it out. After the alert nothing but the mark of it is kept. Waiting turns lie in a
+    few buckets and one timer stands for the earliest of them, so calls to the state grow with the batches, not with the turns.
     """
 
     def __init__(self, ceiling: float) -> None:
@@ -52,35 +66,56 @@ class CeilingWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "seq bigint", "at bigint, cost double")
-        self.spent = handle.getValueState("spent", "spent double, told boolean")
+        self.waiting = handle.getMapState("waiting", "bucket int", "seq array<bigint>, at array<bigint>, cost array<double>")
+        self.spent = handle.getValueState("spent", "spent double, told boolean, timer bigint")
+
+    def _state(self) -> tuple[float, bool, int]:
+        return tuple(self.spent.get()) if self.spent.exists() else (0.0, False, 0)
+
+    def _wake(self, at: int) -> int:
+        # Behind the turn's own millisecond: the watermark is then past the whole of it.
+        self.handle.registerTimer(at // 1000 + 1)
+        return at // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.spent.exists() and self.spent.get()[1]:
+        spent, told, timer = self._state()
+        if told:
             return iter([])
         turns = pd.concat(list(rows)).drop_duplicates("seq")
-        for seq, at, cost in zip(turns["seq"].tolist(), turns["at"].tolist(), turns["cost"].tolist()):
-            if not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), (at, cost))
-                # Behind the turn's own millisecond: the watermark is then past the whole of it.
-                self.handle.registerTimer(at // 1000 + 1)
+        for bucket, fresh in turns.groupby(turns["seq"] % BUCKETS):
+            place = (int(bucket),)
+            seqs, ats, costs = map(list, self.waiting.getValue(place)) if self.waiting.containsKey(place) else ([], [], [])
+            fresh = fresh[~fresh["seq"].isin(set(seqs))]
+            self.waiting.updateValue(place, (seqs + fresh["seq"].tolist(), ats + fresh["at"].tolist(), costs + fresh["cost"].tolist()))
+        first = int(turns["at"].min())
+        if not timer or first // 1000 + 1 < timer:
+            timer = self._wake(first)
+        self.spent.update((spent, False, timer))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spent, told = self.spent.get() if self.spent.exists() else (0.0, False)
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((value[0], seq[0], value[1]) for seq, value in self.waiting.iterator() if value[0] < upto)
-        if told or not due:
+        spent, told, _ = self._state()
+        if told:
             return
-        for at, seq, cost in due:
+        # All that the watermark has passed is final, not only what this timer stood for.
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        held = [(place, list(zip(at, seq, cost))) for place, (seq, at, cost) in list(self.waiting.iterator())]
+        for at, seq, cost in sorted(t for _, turns in held for t in turns if t[0] < upto):
             spent += cost
             if spent >= self.ceiling:
                 self.waiting.clear()
-                self.spent.update((spent, True))
+                self.spent.update((spent, True, 0))
                 yield pd.DataFrame({"conversation_id": [key[0]], "ts": [pd.Timestamp(at, unit="us", tz="UTC")], "seq": [seq], "running": [spent]})
                 return
-            self.waiting.removeKey((seq,))
-        self.spent.update((spent, False))
+        later = []
+        for place, turns in held:
+            left = [t for t in turns if t[0] >= upto]
+            later += [t[0] for t in left]
+            if not left:
+                self.waiting.removeKey(place)
+            elif len(left) < len(turns):
+                self.waiting.updateValue(place, ([t[1] for t in left], [t[0] for t in left], [t[2] for t in left]))
+        self.spent.update((spent, False, self._wake(min(later)) if later else 0))
 
     def close(self) -> None:
         pass
