@@ -59,3 +59,33 @@ def test_scopes_without_direction(spark):
     right = df.select("item_id", "tenant", "user_id", "project", F.col("embedding").alias("vector"))
     got = knn.topk_per_query(knn.blocked_similarity(asked, right, 2, block_rows=3, pivot_blocks=2), 2).collect()
     assert {(r["query_id"], r["item_id"], r["score"]) for r in got} == {(f"i{n}", i, 0.0) for n in range(9) for i in ("i0", "i1")}
+
+
+def _grown(spark, copies):
+    """Groups of `copies` near copies and as many scattered rows, in one scope."""
+    rng = np.random.default_rng(11)
+    near = rng.normal(size=(4, 1, 160)) + rng.normal(size=(4, copies, 160)) * 0.15
+    rows = np.concatenate([near.reshape(-1, 160), rng.normal(size=(4 * copies, 160))])
+    data = [(f"i{n:05d}", "t", "u", "p", "note", [float(x) for x in v], None, n) for n, v in enumerate(rows[rng.permutation(len(rows))])]
+    return spark.createDataFrame(data, SCHEMA).repartition(3).persist()
+
+
+@pytest.mark.parametrize("copies", [20, 120])
+def test_sketches_find_what_all_pairs_find(spark, monkeypatch, copies):
+    rows = _grown(spark, copies)
+    got = both(monkeypatch, lambda: knn.near_dup_join(rows, 0.93, block_rows=64).select("item_id", "match_id", F.round("score", 8)))
+    assert len(got) >= 4 * (copies - 1)
+
+
+def test_vectors_are_not_copied_to_every_block(spark, monkeypatch):
+    """Only crowded rows meet block by block; of all others no vector is dealt to a block."""
+    dealt, plain = [], knn._compare
+
+    def compare(l, r, *more):
+        dealt.append(l.count() + r.count())
+        return plain(l, r, *more)
+
+    monkeypatch.setattr(knn, "_compare", compare)
+    rows = _grown(spark, 20)
+    assert knn.near_dup_join(rows, 0.93, block_rows=8).count() >= 76
+    assert sum(dealt) == 0
