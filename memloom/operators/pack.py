@@ -27,7 +27,8 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _prepared(candidates: DataFrame) -> DataFrame:
+def prepared(candidates: DataFrame) -> DataFrame:
+    """Candidates with what packing needs of their content, instead of the content."""
     flat = candidates.withColumns({
         "_flat": flatten_space(F.col("content")), "_needles": tokenize(F.col("query")),
     })
@@ -36,7 +37,7 @@ def _prepared(candidates: DataFrame) -> DataFrame:
         "_text": snippet_of(F.col("_flat"), F.col("_hay"), F.col("_needles"), SNIPPET_CHARS),
         "_cite": snippet_of(F.col("_flat"), F.col("_hay"), F.col("_needles"), CITATION_CHARS),
         "_label": item_label(F.col("item_id"), F.col("type"), F.col("created_at"), F.col("source")),
-    }).withColumn("_cost", estimate_tokens(F.col("_label")) + 2)
+    }).withColumn("_cost", estimate_tokens(F.col("_label")) + 2).drop("content", "_flat", "_hay", "_needles")
 
 
 def pack_context(
@@ -48,7 +49,7 @@ def pack_context(
     """One row per query: context, citations, used tokens, omitted count.
 
     candidates(query_id, query, position, item_id, type, content, source, created_at, fused, ranks).
-    A candidate that does not fit is skipped and the next one is tried.
+    A candidate that does not fit is skipped and the next one is tried. Candidates may be `prepared` before.
     """
     budget = max(0, max_tokens)
     cap = max(ITEM_FLOOR, int(budget * item_share))
@@ -58,7 +59,8 @@ def pack_context(
         "fused", "ranks", "_text", "_cite", "_label", "_cost",
     )
     in_order = lambda a, b: a["position"] - b["position"]
-    listed = _prepared(candidates).groupBy("query_id").agg(F.array_sort(F.collect_list(fields), in_order).alias("_c"))
+    ready = candidates if "_text" in candidates.columns else prepared(candidates)
+    listed = ready.groupBy("query_id").agg(F.array_sort(F.collect_list(fields), in_order).alias("_c"))
 
     def step(acc: Column, c: Column) -> Column:
         remaining = F.lit(budget) - acc["used"]
