@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,31 +13,40 @@ from memloom.operators.conversations import COST_CEILING_USD
 from memloom.session import keep_state_in_rocksdb
 
 WATERMARK = "10 minutes"
-#: Entries of the state that hold a conversation's waiting turns.
-BUCKETS = 64
+#: Entries of the state that hold a batch's waiting turns at most, and turns that one entry holds before there are more.
+BUCKETS, ENTRY_TURNS = 64, 64
+#: Costs add up as whole parts of a dollar, so that sums do not depend on their order.
+UNITS = 10**12
 ALERT = "conversation_id string, ts timestamp, seq bigint, running double"
 
 
+def cost_units(cost: Column) -> Column:
+    return F.coalesce(F.round(cost.cast("double") * float(UNITS)).cast("long"), F.lit(0).cast("long"))
+
+
+def _whole(dollars: float) -> int:
+    return round(dollars * UNITS)
+
+
 def spend_alerts(usage: DataFrame, ceiling: float = COST_CEILING_USD) -> DataFrame:
     """The turn at which each conversation reached its ceiling: one alert per conversation.
 
     Daily totals decide the day first, so only that day's turns of a long conversation are ordered.
     """
-    cost = F.coalesce("cost_usd", F.lit(0.0))
-    timed = usage.withColumns({"cost": cost, "day": F.to_date("ts")})
+    timed = usage.withColumns({"cost": cost_units(F.col("cost_usd")), "day": F.to_date("ts")})
+    most = _whole(ceiling)
     days = timed.groupBy("conversation_id", "day").agg(F.sum("cost").alias("day_cost"))
     by_day = Window.partitionBy("conversation_id").orderBy("day")
     crossed = days.withColumn("total", F.sum("day_cost").over(by_day)).withColumn(
         "before", F.col("total") - F.col("day_cost")
     )
-    # A hair of slack keeps the day in when rounding of the two sums differs; the turns decide.
-    near = crossed.where((F.col("total") >= ceiling - 1e-6) & (F.col("before") < ceiling + 1e-6))
+    near = crossed.where((F.col("total") >= most) & (F.col("before") < most))
     turns = timed.join(near.select("conversation_id", "day", "before"), ["conversation_id", "day"])
     order = Window.partitionBy("conversation_id", "day").orderBy("ts", "seq")
     running = turns.withColumn("running", F.col("before") + F.sum("cost").over(order))
-    reached = running.where(F.col("running") >= ceiling)
+    reached = running.where(F.col("running") >= most)
     return reached.groupBy("conversation_id").agg(F.min(F.struct("ts", "seq", "running")).alias("a")).select(
-        "conversation_id", "a.ts", "a.seq", "a.running"
+        "conversation_id", "a.ts", "a.seq", (F.col("a.running") / UNITS).alias("running")
     )
 
 
@@ -57,65 +66,68 @@ class CeilingWatch(StatefulProcessor):
 
     Turns count in order of time once the watermark has passed them, so the alert names the same turn however
     they arrive. A turn that comes again while it waits replaces itself; later it is older than the
-    watermark and Spark leaves it out. After the alert nothing but the mark of it is kept. Waiting turns lie in a
-    few buckets and one timer stands for the earliest of them, so calls to the state grow with the batches, not with the turns.
+    watermark and Spark leaves it out. After the alert nothing but the mark of it is kept. The turns of a batch wait
+    in a few entries and one timer stands for the earliest of all, so calls to the state grow with the batches, not with the turns.
     """
 
     def __init__(self, ceiling: float) -> None:
-        self.ceiling = ceiling
+        self.ceiling = _whole(ceiling)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket int", "seq array<bigint>, at array<bigint>, cost array<double>")
-        self.spent = handle.getValueState("spent", "spent double, told boolean, timer bigint")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "seq array<bigint>, at array<bigint>, cost array<bigint>")
+        self.spent = handle.getValueState("spent", "spent bigint, told boolean, timer bigint, chunks bigint")
 
-    def _state(self) -> tuple[float, bool, int]:
-        return tuple(self.spent.get()) if self.spent.exists() else (0.0, False, 0)
+    def _state(self) -> tuple[int, bool, int, int]:
+        return tuple(self.spent.get()) if self.spent.exists() else (0, False, 0, 0)
 
     def _wake(self, at: int) -> int:
         # Behind the turn's own millisecond: the watermark is then past the whole of it.
         self.handle.registerTimer(at // 1000 + 1)
         return at // 1000 + 1
 
+    def _keep(self, chunks: int, seq: list[int], at: list[int], cost: list[int]) -> int:
+        """Add turns as entries behind the first `chunks`; the number of entries after it."""
+        wide = max(ENTRY_TURNS, -(-len(seq) // BUCKETS))
+        for i in range(0, len(seq), wide):
+            self.waiting.updateValue((chunks,), tuple(x[i:i + wide] for x in (seq, at, cost)))
+            chunks += 1
+        return chunks
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spent, told, timer = self._state()
+        spent, told, timer, chunks = self._state()
         if told:
             return iter([])
-        turns = pd.concat(list(rows)).drop_duplicates("seq")
-        for bucket, fresh in turns.groupby(turns["seq"] % BUCKETS):
-            place = (int(bucket),)
-            seqs, ats, costs = map(list, self.waiting.getValue(place)) if self.waiting.containsKey(place) else ([], [], [])
-            fresh = fresh[~fresh["seq"].isin(set(seqs))]
-            self.waiting.updateValue(place, (seqs + fresh["seq"].tolist(), ats + fresh["at"].tolist(), costs + fresh["cost"].tolist()))
-        first = int(turns["at"].min())
+        seq, at, cost = ([x for part in parts for x in part] for parts in zip(*[[r[c].tolist() for c in ("seq", "at", "cost")] for r in rows]))
+        chunks = self._keep(chunks, seq, at, [_whole(x) for x in cost])
+        first = min(at)
         if not timer or first // 1000 + 1 < timer:
             timer = self._wake(first)
-        self.spent.update((spent, False, timer))
+        self.spent.update((spent, False, timer, chunks))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        spent, told, _ = self._state()
+        spent, told, _, chunks = self._state()
         if told:
             return
         # All that the watermark has passed is final, not only what this timer stood for.
         upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        held = [(place, list(zip(at, seq, cost))) for place, (seq, at, cost) in list(self.waiting.iterator())]
-        for at, seq, cost in sorted(t for _, turns in held for t in turns if t[0] < upto):
+        held: dict[int, tuple[int, int]] = {}
+        for i in range(chunks):
+            for seq, at, cost in zip(*self.waiting.getValue((i,))):
+                # The first that came stands for those that came again.
+                held.setdefault(seq, (at, cost))
+        for at, seq, cost in sorted((at, seq, cost) for seq, (at, cost) in held.items() if at < upto):
             spent += cost
             if spent >= self.ceiling:
                 self.waiting.clear()
-                self.spent.update((spent, True, 0))
-                yield pd.DataFrame({"conversation_id": [key[0]], "ts": [pd.Timestamp(at, unit="us", tz="UTC")], "seq": [seq], "running": [spent]})
+                self.spent.update((spent, True, 0, 0))
+                yield pd.DataFrame({"conversation_id": [key[0]], "ts": [pd.Timestamp(at, unit="us", tz="UTC")], "seq": [seq], "running": [spent / UNITS]})
                 return
-        later = []
-        for place, turns in held:
-            left = [t for t in turns if t[0] >= upto]
-            later += [t[0] for t in left]
-            if not left:
-                self.waiting.removeKey(place)
-            elif len(left) < len(turns):
-                self.waiting.updateValue(place, ([t[1] for t in left], [t[0] for t in left], [t[2] for t in left]))
-        self.spent.update((spent, False, self._wake(min(later)) if later else 0))
+        self.waiting.clear()
+        later = [(seq, at, cost) for seq, (at, cost) in held.items() if at >= upto]
+        chunks = self._keep(0, *map(list, zip(*later))) if later else 0
+        self.spent.update((spent, False, self._wake(min(at for _, at, _ in later)) if later else 0, chunks))
 
     def close(self) -> None:
         pass
