@@ -14,9 +14,12 @@ from memloom.schemas import BRANCH_WEIGHTS, RRF_K
 FUSED_DIGITS = 12
 
 
-def rank_in_branch(scored: DataFrame, order: tuple[str, ...] = ("-score", "item_id")) -> DataFrame:
-    """1-based rank per query and branch."""
+def rank_in_branch(scored: DataFrame, order: tuple[str, ...] = ("-score", "item_id"), recent: str = "updated_at") -> DataFrame:
+    """1-based rank per query and branch. Full-text ties go to the newest, where the hits tell how recent they are."""
     columns = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    if recent in scored.columns:
+        newest = F.desc(F.when(F.col("branch") == "fts", F.col(recent)))
+        columns.insert(next((i + 1 for i, c in enumerate(order) if c == "-score"), 0), newest)
     return scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id", "branch").orderBy(*columns))
     )
