@@ -10,7 +10,10 @@ from memloom.functions.redact import redact
 from memloom.operators.embed import HASH_MODEL, Embedder, hash_embedder
 from memloom.operators.items import scope_join
 from memloom.schemas import SCOPE
-from memloom.session import cut_lineage
+from memloom.session import broadcast_if_small, cut_lineage
+
+#: Room for an id in a broadcast.
+ID_BYTES = 48
 
 
 def merge_items(store: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
@@ -66,6 +69,9 @@ def update_items(store: DataFrame, patches: DataFrame, now: Column, embedder: Em
 def delete_items(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Remove items(item_id) with their links; pointers to them become null, so an older version is live again."""
     ids = gone.select("item_id").distinct()
+    if "relations" in tables:
+        # The relations are many: they stay where they lie as long as the ids fit a broadcast.
+        ids = broadcast_if_small(ids, ids.count(), ID_BYTES)
     dead = ids.withColumn("_dead", F.lit(True))
 
     def nulled(df: DataFrame, column: str) -> DataFrame:
@@ -100,8 +106,9 @@ def delete_scope(tables: dict[str, DataFrame], scopes: DataFrame) -> dict[str, D
         if "links" in out:
             out["links"] = out["links"].join(lost, "entity_id", "left_anti")
         if "relations" in out:
+            n = lost.count()
             for end in ("from_entity", "to_entity"):
-                out["relations"] = out["relations"].join(lost.withColumnRenamed("entity_id", end), end, "left_anti")
+                out["relations"] = out["relations"].join(broadcast_if_small(lost.withColumnRenamed("entity_id", end), n, ID_BYTES), end, "left_anti")
     return out
 
 
